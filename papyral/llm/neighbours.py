@@ -168,7 +168,7 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, k: int = K, least:
                 take = pa.array(np.repeat(np.arange(own.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([own.column(0).take(take), own.column(1).take(take), own.column(2).take(take), pa.array(near.ravel(), pa.int32())], names=["model_version", "paper_id", "v", "cell"])
 
-    def search(key, tab: pa.Table) -> pa.Table:
+    def search(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         names = np.array(tab.column("paper_id").to_pylist(), dtype=object)
         flat = tab.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         q, o, s = search_cell(flat.reshape(len(names), -1), names, k, least)
