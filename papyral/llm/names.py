@@ -32,7 +32,7 @@ Q, ROWS, BANDS = 3, 4, 40
 MIN_GIVEN, MAX_GIVEN, FIRST_SHARE = 5, 5000, 0.6
 #: A name of initials joins the person that has at least this share of the spellings' occurrences it could stand for.
 INITIAL_SHARE = 0.5
-SIMILAR = 0.86
+SIMILAR = 0.7
 
 # Common short forms of given names.
 NICKNAMES = {
