@@ -13,8 +13,13 @@ WORD = r"[\p{L}\p{N}_]"
 _SPLIT = r"[^\p{L}\p{N}_]+"
 
 
+# White space of any script, as one class that every regular-expression engine here reads alike.
+WHITE = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
+
+
 def normalize_ws(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space become one space; none at the ends."""
+    return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
 def strip_tags(c: Column) -> Column:
@@ -112,6 +117,7 @@ def strip_accents(c: Column) -> Column:
     """ASCII letters of a text: common Latin letters lose their marks, any other character is dropped."""
     marked = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįñńňòóôõöōőŕřśšşťţùúûüūůűýÿžźż"
     plain = "aaaaaaaaacccdeeeeeeeegiiiiiinnnooooooorrsssttuuuuuuuyyzzz"
+    c = F.replace(F.replace(F.translate(c, "\u00a0", " "), F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
     both = F.translate(c, marked + marked.upper().replace("Ÿ", "Ÿ"), plain + plain.upper())
     return F.regexp_replace(both, r"[^\x00-\x7F]", "")
 

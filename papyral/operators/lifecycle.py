@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from papyral.functions import text as X
 from papyral.functions import weeks as K
@@ -123,7 +124,7 @@ def split_message(text: str, limit: int = 3900) -> list[str]:
     return [*out, piece] if piece else out
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(lambda t: split_message(t) if isinstance(t, str) else [])
