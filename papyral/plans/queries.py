@@ -55,8 +55,13 @@ def _terms_sql(terms=TERMS) -> str:
     return "terms AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{_border(t)}', {WEIGHTS.get(t, 1.0)})" for t in terms) + ") AS v(term, pat, weight))"
 
 
+def _match(source: str, columns: str, low: str, terms=TERMS) -> str:
+    """One branch a term, as a constant pattern is compiled once."""
+    return " UNION ALL ".join(f"SELECT {columns}, '{t}' AS term, {WEIGHTS.get(t, 1.0)} AS weight FROM {source} WHERE regexp_matches({low}, '{_border(t)}')" for t in terms)
+
+
 P = "p AS (SELECT DISTINCT * FROM papers), e AS (SELECT *, strftime(coalesce(announce_date, published_date), '%G-W%V') AS iso_week, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS low FROM p WHERE NOT coalesce(muted, false) AND NOT coalesce(is_survey, false) AND coalesce(announce_date, published_date) IS NOT NULL)"
-HITS = P + ", " + _terms_sql() + ", hits AS MATERIALIZED (SELECT e.paper_id, e.iso_week, e.first_author_group, coalesce(e.announce_date, e.published_date) AS day, terms.term FROM e JOIN terms ON contains(e.low, terms.term) AND regexp_matches(e.low, terms.pat))"
+HITS = P + ", " + _terms_sql() + ", hits AS MATERIALIZED (" + _match("e", "paper_id, iso_week, first_author_group, coalesce(announce_date, published_date) AS day", "low") + ")"
 COUNTS = HITS + ", counts AS (SELECT term, iso_week, count(*) AS count, count(DISTINCT first_author_group) AS distinct_authors FROM hits GROUP BY ALL)"
 _BASE = ", ".join(f"'{w}'" for w in K.recent_weeks(CURRENT, 6))
 MOMENTUM = COUNTS + f", mom AS (SELECT terms.term, coalesce(sum(count) FILTER (WHERE iso_week = '{CURRENT}'), 0)::BIGINT AS current, coalesce(sum(count) FILTER (WHERE iso_week IN ({_BASE})), 0) / 6.0::DOUBLE AS baseline FROM terms LEFT JOIN counts USING (term) GROUP BY terms.term), momentum AS MATERIALIZED (SELECT *, current - baseline AS momentum FROM mom)"
@@ -338,8 +343,8 @@ _SCORE = (
     + ", "
     + _ANCHORS
     + f", universe AS MATERIALIZED (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS low FROM p WHERE NOT coalesce(muted, false) AND (first_seen_at::DATE > DATE '{AS_OF}' - 10 OR announce_date > DATE '{AS_OF}' - 21) ORDER BY first_seen_at DESC NULLS LAST, paper_id LIMIT {S.UNIVERSE_CAP}), "
-    "matched AS (SELECT paper_id, terms.term, weight FROM universe JOIN terms ON contains(low, term) AND regexp_matches(low, pat)), lex AS (SELECT paper_id, sum(weight * greatest(0.0, coalesce(momentum, 0.0))) AS lexical, min(term) AS tag FROM matched LEFT JOIN momentum USING (term) GROUP BY 1), "
-    "con AS (SELECT paper_id, count(*) AS n FROM universe JOIN terms ON regexp_matches(lower(array_to_string(concepts, ' ')), pat) GROUP BY 1), "
+    "matched AS (" + _match("universe", "paper_id", "low") + "), lex AS (SELECT paper_id, sum(weight * greatest(0.0, coalesce(momentum, 0.0))) AS lexical, min(term) AS tag FROM matched LEFT JOIN momentum USING (term) GROUP BY 1), "
+    "con AS (SELECT paper_id, count(*) AS n FROM (" + _match("universe", "paper_id", "lower(array_to_string(concepts, ' '))") + ") GROUP BY 1), "
     "sims AS (SELECT paper_id, coalesce(max(x) FILTER (WHERE x > 0), 0.0) AS sim FROM (SELECT pv.paper_id, list_cosine_similarity(pv.v::DOUBLE[], a::DOUBLE[]) AS x FROM pv, anchors) GROUP BY 1), "
     f"co AS (SELECT right_key AS paper_id, count(DISTINCT left_key) AS n FROM match_pairs JOIN p ON p.paper_id = left_key WHERE p.first_seen_at::DATE > DATE '{AS_OF}' - 364 GROUP BY 1), "
     "up AS (SELECT paper_id, max(TRY_CAST(CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.upvotes') END AS DOUBLE)) AS n FROM paper_sources GROUP BY 1), "
@@ -404,7 +409,7 @@ def signals_ledger(s, d):
     return S.signals_ledger(_ranked(s, d), as_of(), _NAMES).withColumn("value", F.round("value", 6))
 
 
-@query("WITH p AS (SELECT DISTINCT * FROM papers), " + _terms_sql(PHRASES) + ", " + _ANCHORS + f", r AS (SELECT *, coalesce(announce_date, first_seen_at::DATE) AS day, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS low FROM p WHERE NOT coalesce(muted, false) AND (first_seen_at::DATE > DATE '{AS_OF}' - 60 OR announce_date > DATE '{AS_OF}' - 60) ORDER BY day DESC, paper_id LIMIT 1500), m AS (SELECT paper_id, announce_date, array_to_string(list_sort(list(DISTINCT term)), '; ') AS matched FROM r JOIN terms ON contains(low, term) AND regexp_matches(low, pat) GROUP BY 1, 2), sims AS (SELECT paper_id, coalesce(max(x) FILTER (WHERE x > 0), 0.0) AS sim FROM (SELECT pv.paper_id, list_cosine_similarity(pv.v::DOUBLE[], a::DOUBLE[]) AS x FROM pv, anchors) GROUP BY 1) SELECT paper_id, announce_date, round(coalesce(sim, 0.0), 6) AS similarity, matched, row_number() OVER (ORDER BY announce_date DESC NULLS LAST, coalesce(sim, 0.0) DESC, paper_id) AS rank FROM m LEFT JOIN sims USING (paper_id) QUALIFY rank <= 40")
+@query("WITH p AS (SELECT DISTINCT * FROM papers), " + _terms_sql(PHRASES) + ", " + _ANCHORS + f", r AS (SELECT *, coalesce(announce_date, first_seen_at::DATE) AS day, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS low FROM p WHERE NOT coalesce(muted, false) AND (first_seen_at::DATE > DATE '{AS_OF}' - 60 OR announce_date > DATE '{AS_OF}' - 60) ORDER BY day DESC, paper_id LIMIT 1500), m AS (SELECT paper_id, announce_date, array_to_string(list_sort(list(DISTINCT term)), '; ') AS matched FROM (" + _match("r", "paper_id, announce_date", "low", PHRASES) + f") GROUP BY 1, 2), sims AS (SELECT paper_id, coalesce(max(x) FILTER (WHERE x > 0), 0.0) AS sim FROM (SELECT pv.paper_id, list_cosine_similarity(pv.v::DOUBLE[], a::DOUBLE[]) AS x FROM pv, anchors) GROUP BY 1) SELECT paper_id, announce_date, round(coalesce(sim, 0.0), 6) AS similarity, matched, row_number() OVER (ORDER BY announce_date DESC NULLS LAST, coalesce(sim, 0.0) DESC, paper_id) AS rank FROM m LEFT JOIN sims USING (paper_id) QUALIFY rank <= 40")
 def niche_feed(s, d):
     vectors = _paper_vectors(s, d)
     anchors = [(r["paper_id"], r["v"]) for r in vectors.orderBy("paper_id").limit(ANCHORS).collect()]
