@@ -28,20 +28,31 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     only a loop is not returned); repeats and direction do not matter.  An empty table gives no rows.
     """
     scratch = Scratch(spark, "components")
+    if dict(edges.dtypes)["u"] == "bigint":  # already hashes: contracted as they are
+        return _contract(spark, scratch, edges.where(F.col("u") != F.col("v"))).select(F.col("x").alias("vertex"), F.col("r").alias("component"))
     # Vertices are 64-bit hashes while contracting; two different keys with one hash are
     # as likely as 1 in 10^4 at 10^7.5 vertices only if keys are typed by an adversary: hashes are of two seeds, 128 bits.
     code = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("papyral"), c).alias("b"))
     named = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    both = named.select(code(F.col("u")).alias("u"), code(F.col("v")).alias("v"))
-    current = scratch.save(_undirected(both), "edges")
+    final = _contract(spark, scratch, named.select(code(F.col("u")).alias("u"), code(F.col("v")).alias("v")))
+    names = named.select(F.col("u").alias("vertex")).unionByName(named.select(F.col("v").alias("vertex"))).distinct()
+    named_roots = names.select("vertex", code(F.col("vertex")).alias("x")).join(final, "x")
+    root = named_roots.groupBy("r").agg(F.min("vertex").alias("component"))
+    return named_roots.join(root, "r").select("vertex", "component")
+
+
+def _contract(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(x, r): the root of every vertex of ``edges``."""
+    current = scratch.save(_undirected(edges), "edges")
+    kind = current.schema["u"].dataType.simpleString()
     maps: list[DataFrame] = []
     for k in range(MAX_ROUNDS):
         if current.isEmpty():
             break
-        hashed = lambda c, k=k: F.xxhash64(F.lit(k), c["a"], c["b"])
-        sides = current.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(current.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = sides.groupBy("x").agg(F.min(F.struct(hashed(F.col("y")).alias("h"), F.col("y").alias("y"))).alias("m"))
-        hook = F.when(F.struct(hashed(F.col("x")).alias("h"), F.col("x").alias("y")) < F.col("m"), F.col("x")).otherwise(F.col("m.y"))
+        hashed = lambda c, k=k: F.xxhash64(F.lit(k), c)
+        sides = current.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))))
+        least = sides.groupBy("x").agg(F.min_by("y", hashed(F.col("y"))).alias("y"))
+        hook = F.when(hashed(F.col("x")) < hashed(F.col("y")), F.col("x")).otherwise(F.col("y"))
         mapping = scratch.save(least.select("x", hook.alias("r")), f"map{k}")
         maps.append(mapping)
         left, right = mapping.select(F.col("x").alias("u"), F.col("r").alias("ru")), mapping.select(F.col("x").alias("v"), F.col("r").alias("rv"))
@@ -51,17 +62,13 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("the contraction did not end")
     if not maps:
-        return spark.createDataFrame([], f"vertex {edges.schema['u'].dataType.simpleString()}, component {edges.schema['u'].dataType.simpleString()}")
+        return spark.createDataFrame([], f"x {kind}, r {kind}")
     # Backwards: a round's mapping is followed by the mapping of the later rounds where that has the vertex.
     final = maps[-1]
     for mapping in reversed(maps[:-1]):
         later = final.select(F.col("x").alias("r"), F.col("r").alias("root"))
         final = mapping.join(later, "r", "left").select("x", F.coalesce("root", "r").alias("r"))
-    final = scratch.save(final, "roots")
-    names = named.select(F.col("u").alias("vertex")).unionByName(named.select(F.col("v").alias("vertex"))).distinct()
-    named_roots = names.select("vertex", code(F.col("vertex")).alias("x")).join(final, "x")
-    root = named_roots.groupBy("r").agg(F.min("vertex").alias("component"))
-    return named_roots.join(root, "r").select("vertex", "component")
+    return scratch.save(final, "roots")
 
 
 def _undirected(edges: DataFrame) -> DataFrame:

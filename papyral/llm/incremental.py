@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyral.llm.components import connected_components
-from papyral.llm.works import block_index, candidates, verified_pairs, work_features
+from papyral.llm.works import MAX_BITS, fingerprint, pair_keys, triple_keys, verified_pairs, work_features
 from papyral.session import Scratch, table
 
-#: Deliveries by their last batch_id: the batches are taken in so many steps.
-DELIVERIES = (8, None)
+#: Deliveries of p5_found by their last batch_id, after the papers: all batches come as one.  Any split gives the same rows.
+DELIVERIES: tuple[int | None, ...] = (None,)
 
 
 class FingerprintIndex:
-    """History as written tables: ``titles`` (title_key, tokens, people), ``blocks`` (key, title_key, print) and ``links`` (u, v).
+    """History as written tables: ``titles`` (title, tokens, people, print), ``blocks`` (key, title) and ``links`` (u, v).
 
-    ``links`` ties title keys with each other and with identifiers; its components are the works.
+    ``links`` ties titles with each other and with identifiers (all 64-bit hashes); its components are the works.
     """
 
     def __init__(self, spark: SparkSession):
@@ -33,47 +33,50 @@ class FingerprintIndex:
         self.titles: DataFrame | None = None
         self.blocks: DataFrame | None = None
         self.links: DataFrame | None = None
-        self.rows: DataFrame | None = None
 
-    def append(self, rows: DataFrame) -> None:
-        """Look a delivery up in the index and add it.  rows: id, title, authors, doi, arxiv_id; ids unique strings."""
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Look a delivery up in the index and add it; gives (id, vertex) of its rows.
+
+        rows: id, title, authors, doi, arxiv_id.  A row without a title is a vertex of its own, tied by its identifiers.
+        """
         features = self.scratch.save(work_features(rows), "features")
-        vertex = F.coalesce(F.col("title_key"), F.concat(F.lit("\u0002row "), F.col("id").cast("string")))
-        named = features.withColumn("vertex", vertex)
-        ids = named.select("vertex", F.explode(F.array(F.concat(F.lit("\u0001doi "), "doi"), F.concat(F.lit("\u0001arxiv "), "arxiv"))).alias("v")).where(F.col("v").isNotNull())
-        exact = ids.select(F.col("vertex").alias("u"), "v").distinct()
-        fresh = features.where(F.col("title_key").isNotNull()).groupBy("title_key").agg(F.max(F.struct(F.size("people").alias("n"), "tokens", "people")).alias("m"))
-        fresh = fresh.select("title_key", F.col("m.tokens").alias("tokens"), F.col("m.people").alias("people"))
+        vertex = F.coalesce(F.col("title"), F.xxhash64(F.lit("row"), F.col("id")))
+        named = lambda kind: F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(kind), F.col(kind)))
+        ids = features.where("doi IS NOT NULL OR arxiv IS NOT NULL").select(vertex.alias("u"), F.explode(F.array(named("doi"), named("arxiv"))).alias("v"))
+        exact = ids.where(F.col("v").isNotNull())
+        new = features.where(F.col("title").isNotNull()).select("title", F.struct(F.length("people").alias("n"), "tokens", "people", "codes", "authors").alias("m"))
+        fresh = new.groupBy("title").agg(F.max("m").alias("m")).select("title", "m.tokens", "m.people", "m.codes", "m.authors")
         if self.titles is not None:
-            fresh = fresh.join(self.titles.select("title_key"), "title_key", "left_anti")
-        fresh = self.scratch.save(fresh, "titles")
-        blocks = self.scratch.save(block_index(fresh), "blocks")
-        old_blocks, old_titles = self.blocks, self.titles
-        pairs = candidates(blocks, blocks if old_blocks is None else blocks.unionByName(old_blocks))
-        pool = fresh if old_titles is None else fresh.unionByName(old_titles)
-        side = lambda n: pool.select(F.col("title_key").alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("people").alias(f"people_{n}"))
-        near = verified_pairs(pairs.join(side("u"), "u").join(side("v"), "v"))
-        links = self.scratch.save(exact.unionByName(near), "links")
+            fresh = fresh.join(self.titles.select("title"), "title", "left_anti")
+        fresh = self.scratch.save(fresh, "fresh")
+        blocks = self.scratch.save(fresh.select("title", F.explode(F.concat(pair_keys(), triple_keys())).alias("key")), "blocks")
+        titles = fresh.select("title", "tokens", "people", fingerprint().alias("print"))
+        a, b = blocks.select("key", F.col("title").alias("u")), blocks.select("key", F.col("title").alias("v"))
+        met = a.join(b, "key").where("u < v").select("u", "v")
+        if self.blocks is not None:
+            old = self.blocks.select("key", F.col("title").alias("v"))
+            met = met.unionByName(a.join(old, "key").select("u", "v"))
+        pool = titles if self.titles is None else self.titles.unionByName(titles)
+        side = lambda n: pool.select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("people").alias(f"people_{n}"), F.col("print").alias(f"print_{n}"))
+        pairs = met.distinct().join(side("u"), "u").join(side("v"), "v").where(F.bit_count(F.col("print_u").bitwiseXOR(F.col("print_v"))) <= MAX_BITS)
+        links = self.scratch.save(exact.unionByName(verified_pairs(pairs)), "links")
         self.titles = pool
-        self.blocks = blocks if old_blocks is None else old_blocks.unionByName(blocks)
+        self.blocks = blocks if self.blocks is None else self.blocks.unionByName(blocks)
         self.links = links if self.links is None else self.links.unionByName(links)
-        own = named.select("id", "vertex")
-        self.rows = own if self.rows is None else self.rows.unionByName(own)
+        return features.select("id", vertex.alias("vertex"))
 
     def works(self) -> DataFrame:
-        """(id, work) of every row so far; rows that nothing ties to another are works of their own."""
-        groups = connected_components(self.spark, self.links)
-        return self.rows.join(groups.withColumnRenamed("component", "work"), "vertex", "left").select("id", F.coalesce("work", "vertex").alias("work"))
+        """(vertex, work) of the vertices that something ties to another; any other is a work of its own."""
+        return connected_components(self.spark, self.links).withColumnRenamed("component", "work")
 
 
 def paper_rows(papers: DataFrame) -> DataFrame:
-    """papers as rows of the index; ids are ``p`` and the paper_id.  Repeated rows count once."""
-    ids = papers.where(F.col("paper_id").isNotNull()).select(F.concat(F.lit("p"), "paper_id").alias("id"), "title", "authors", "doi", "arxiv_id")
-    return ids.distinct()
+    """papers as rows of the index, by paper_id.  Repeated rows count once, as they give the same features."""
+    return papers.where(F.col("paper_id").isNotNull()).select(F.col("paper_id").alias("id"), "title", "authors", "doi", "arxiv_id")
 
 
 def raw_rows(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col("raw_id").isNotNull()).select(F.concat(F.lit("r"), F.lpad(F.col("raw_id").cast("string"), 19, "0")).alias("id"), "title", "authors", "doi", "arxiv_id")
+    return raw.where(F.col("raw_id").isNotNull()).select(F.col("raw_id").alias("id"), "title", "authors", "doi", "arxiv_id")
 
 
 def known_works(spark: SparkSession, raw: DataFrame, papers: DataFrame, deliveries: tuple[int | None, ...] = DELIVERIES) -> DataFrame:
@@ -83,21 +86,27 @@ def known_works(spark: SparkSession, raw: DataFrame, papers: DataFrame, deliveri
     delivery to the index.  Null titles are known by their identifiers only; a row with neither is a work of its own.
     """
     index = FingerprintIndex(spark)
-    index.append(paper_rows(papers))
+    known = index.append(paper_rows(papers))
+    rows: DataFrame | None = None
     low: int | None = None
     for high in deliveries:
         part = raw
         if low is not None:
             part = part.where(F.col("batch_id") > low)
         if high is not None:
-            part = part.where(F.col("batch_id") <= high if low is not None else (F.col("batch_id") <= high) | F.col("batch_id").isNull())
-        index.append(raw_rows(part))
+            part = part.where((F.col("batch_id") <= high) | (F.col("batch_id").isNull() if low is None else F.lit(False)))
+        own = index.append(raw_rows(part))
+        rows = own if rows is None else rows.unionByName(own)
         low = high
-    works = index.scratch.save(index.works(), "works")
-    first = works.groupBy("work").agg(F.min(F.when(F.col("id").startswith("p"), F.col("id"))).alias("paper"), F.min(F.when(F.col("id").startswith("r"), F.col("id"))).alias("raw"))
-    tied = works.where(F.col("id").startswith("r")).join(first, "work").where(F.col("paper").isNotNull() | (F.col("id") > F.col("raw")))
-    number = lambda c: F.substring(c, 2, 19).cast("long")
-    return tied.select(number(F.col("id")).alias("raw_id"), F.coalesce(F.substring("paper", 2, 10000), F.concat(F.lit("raw:"), number(F.col("raw")).cast("string"))).alias("known_as"))
+    # The least ids of each vertex, then of each work: partial minima before every shuffle.
+    firsts = known.groupBy("vertex").agg(F.min("id").alias("paper")).select("vertex", "paper", F.lit(None).cast("long").alias("raw"))
+    firsts = firsts.unionByName(rows.groupBy("vertex").agg(F.min("id").alias("raw")).select("vertex", F.lit(None).cast("string").alias("paper"), "raw"))
+    placed = firsts.join(index.works(), "vertex", "left").select("vertex", F.coalesce("work", "vertex").alias("work"), "paper", "raw")
+    placed = index.scratch.save(placed, "placed")
+    first = placed.groupBy("work").agg(F.min("paper").alias("paper"), F.min("raw").alias("first"))
+    by_vertex = placed.where(F.col("raw").isNotNull()).select("vertex", "work").join(first, "work").select("vertex", "paper", "first")
+    tied = rows.join(by_vertex, "vertex").where(F.col("paper").isNotNull() | (F.col("id") > F.col("first")))
+    return tied.select(F.col("id").alias("raw_id"), F.coalesce("paper", F.concat(F.lit("raw:"), F.col("first").cast("string"))).alias("known_as"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

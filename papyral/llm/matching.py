@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyral.llm.incremental import FingerprintIndex, paper_rows
-from papyral.llm.works import same_people, same_title, table_keys, work_features
+from papyral.llm.works import author_codes, block_codes, pair_keys, same_people, same_title, triple_keys, work_features
 from papyral.session import Scratch, table
 
 RULES = ("title and author", "title and date", "title blocks and author", "three title blocks")
@@ -32,14 +32,13 @@ def rule_of(tu: list[str], pu: list[str], du, tv: list[str], pv: list[str], dv)
     if tu and sorted(tu) == sorted(tv):
         if set(pu) & set(pv):
             return 0
-        if same_people(pu, pv) and not apart:
-            return 1
-    if same_title(tu, tv):
-        common = set(table_keys(tu, pu)) & set(table_keys(tv, pv))
-        if common and same_people(pu, pv):
-            blocks = set(table_keys(tu, [])) & common
-            return 2 if common - blocks else 3 if not apart else None
-    return None
+        return 1 if same_people(pu, pv) and not apart else None
+    if not same_title(tu, tv) or not same_people(pu, pv):
+        return None
+    same = sum(a == b for a, b in zip(block_codes(tu), block_codes(tv)))
+    if same >= 2 and set(author_codes(pu)) & set(author_codes(pv)):
+        return 2
+    return 3 if same >= 3 and not apart else None
 
 
 def rule_precision(features: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def rule_precision(features: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fired = [rule_of(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 7)))]
+            fired = [rule_of(tu.split(), pu.split(), du, tv.split(), pv.split(), dv) for tu, pu, du, tv, pv, dv in zip(*(batch.column(i).to_pylist() for i in range(1, 7)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fired, pa.int32())], names=["same", "rule"])
 
     counted = rows.mapInArrow(run, "same boolean, rule int").where("rule is not null").groupBy("rule").agg(F.count("*").alias("fired"), F.count_if("same").alias("same"))
@@ -67,26 +66,6 @@ def rule_precision(features: DataFrame, pairs: DataFrame) -> DataFrame:
     return filled.withColumn("confidence", (F.col("same") + 1) / (F.col("fired") + 2))
 
 
-def _author_keys(df: DataFrame) -> DataFrame:
-    return df.select("title_key", "id", F.explode("people").alias("person"))
-
-
-def _block_keys(df: DataFrame, with_authors: bool) -> DataFrame:
-    """(key, id) of the rotated tables: with authors the pairs of blocks, without them the triples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                plain = set(table_keys(t or [], []))
-                keys.append(sorted(set(table_keys(t or [], p or [])) - plain) if with_authors else sorted(plain))
-            at = [i for i, k in enumerate(keys) for _ in k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([x for k in keys for x in k], pa.int64())], names=["id", "key"])
-
-    kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "tokens", "people").mapInArrow(run, f"id {kind}, key bigint")
-
-
 def _checked(pairs: DataFrame, left: DataFrame, right: DataFrame, dated: bool) -> DataFrame:
     """(record, id) of the pairs whose titles and people agree, and whose dates do if ``dated``."""
     side = lambda df, key, n: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{n}") for c in ("tokens", "people", "published_date")])
@@ -97,7 +76,8 @@ def _checked(pairs: DataFrame, left: DataFrame, right: DataFrame, dated: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [(sorted(tu) == sorted(tv) or same_title(tu, tv)) and same_people(pu, pv) for tu, pu, tv, pv in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            rows = ([x.split() for x in row] for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6))))
+            good = [(sorted(tu) == sorted(tv) or same_title(tu, tv)) and same_people(pu, pv) for tu, pu, tv, pv in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["record", "id"]).filter(pa.array(good, pa.bool_()))
 
     kinds = f"record {left.schema['id'].dataType.simpleString()}, id {right.schema['id'].dataType.simpleString()}"
@@ -111,25 +91,27 @@ def match_records(spark: SparkSession, records: DataFrame, papers: DataFrame, la
     """
     scratch = Scratch(spark, "matching")
     index = FingerprintIndex(spark)
-    index.append(paper_rows(papers))
-    works = scratch.save(index.works().select(F.substring("id", 2, 10000).alias("id"), "work"), "works")
+    own = index.append(paper_rows(papers))
+    works = own.distinct().join(index.works(), "vertex", "left").select("id", F.coalesce("work", "vertex").alias("work"))
+    works = scratch.save(works, "works")
     nothing = F.lit(None).cast("string")
     source = papers.where(F.col("paper_id").isNotNull()).select(F.col("paper_id").alias("id"), "title", "authors", nothing.alias("doi"), nothing.alias("arxiv_id"), "published_date").distinct()
-    right = scratch.save(work_features(source, ("published_date",)).where("title_key is not null"), "papers")
+    right = scratch.save(work_features(source, ("published_date",)).where("title is not null"), "papers")
     rows = records.where(F.col("record_id").isNotNull()).select(F.col("record_id").alias("id"), "title", "authors", nothing.alias("doi"), nothing.alias("arxiv_id"), "published_date").distinct()
-    left = scratch.save(work_features(rows, ("published_date",)).where("title_key is not null"), "records")
+    left = scratch.save(work_features(rows, ("published_date",)).where("title is not null"), "records")
     confidence = scratch.save(rule_precision(right, labels), "precision")
     found: DataFrame | None = None
     for n in range(len(RULES)):
         rest = left if found is None else left.join(found.select(F.col("record").alias("id")).distinct(), "id", "left_anti")
         if n == 0:
-            a, b = _author_keys(rest).withColumnRenamed("id", "record"), _author_keys(right)
-            hit = a.join(b, ["title_key", "person"]).select("record", "id").distinct()
+            people = lambda df: df.select("title", "id", F.explode(F.split("people", " ")).alias("person")).where("person <> ''")
+            hit = people(rest).withColumnRenamed("id", "record").join(people(right), ["title", "person"]).select("record", "id").distinct()
         elif n == 1:
-            met = rest.select("title_key", F.col("id").alias("record")).join(right.select("title_key", "id"), "title_key").select("record", "id")
+            met = rest.select("title", F.col("id").alias("record")).join(right.select("title", "id"), "title").select("record", "id")
             hit = _checked(met, rest, right, True)
         else:
-            a, b = _block_keys(rest, n == 2).withColumnRenamed("id", "record"), _block_keys(right, n == 2)
+            keys = pair_keys() if n == 2 else triple_keys()
+            a, b = rest.select(F.col("id").alias("record"), F.explode(keys).alias("key")), right.select("id", F.explode(keys).alias("key"))
             hit = _checked(a.join(b, "key").select("record", "id"), rest, right, n == 3)
         hit = scratch.save(hit.withColumn("rule", F.lit(n)), f"rule{n}")
         found = hit if found is None else found.unionByName(hit)

@@ -10,10 +10,11 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyral.functions.identifiers import clean_arxiv, clean_doi
@@ -123,43 +124,36 @@ def _h(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-def fingerprint(tokens: list[str]) -> list[int]:
-    """Four blocks of 16 bits.  A token sets bits of one block only, so a changed word differs in two blocks at most."""
-    blocks: list[list[int]] = [[] for _ in range(BLOCKS)]
-    for t in set(tokens):
-        h = _h(t)
-        blocks[h % BLOCKS].append(h >> 8)
-    out = []
-    for hashes in blocks:
-        bits = 0
-        for b in range(16):
-            if sum(1 if h >> b & 1 else -1 for h in hashes) > 0:
-                bits |= 1 << b
-        out.append(bits)
-    return out
+MASK = (1 << 64) - 1
 
 
 def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    x &= MASK
+    return x - (1 << 64) if x >> 63 else x
+
 
+@lru_cache(maxsize=100_000)
+def _token(t: str) -> tuple[int, int]:
+    h = _h(t)
+    return h % BLOCKS, (h * 0x9E3779B97F4A7C15 ^ h >> 29) & MASK
 
-def table_keys(tokens: list[str], authors: list[str]) -> list[int]:
-    """Keys of a record in the rotated block tables.
 
-    Six rotations bring each two of the four blocks to the front, tied to either of the two author tokens of least
-    hash; four bring three blocks to the front without authors.  Records that differ in up to two blocks and share one of
-    those author tokens, or in one block, meet in some table.
+def block_codes(tokens: list[str]) -> list[int]:
+    """Four codes, each the sum of the hashes of the distinct tokens that belong to its block.
+
+    A token belongs to one block only, so a changed word changes two blocks at most, and order changes none.  The low
+    16 bits of the four are the record's 64-bit fingerprint.
     """
-    if len(tokens) < SHORT_TITLE:
-        return []
-    # A block is looked up by all of its tokens' bits; its hash is taken over the tokens so that rare blocks stay apart.
-    parts = [[] for _ in range(BLOCKS)]
-    for t in sorted(set(tokens)):
-        parts[_h(t) % BLOCKS].append(t)
-    code = ["\x1f".join(p) for p in parts]
-    keys = [_h(f"{i}{j}\x1d{code[i]}\x1e{code[j]}\x1d{a}") for a in sorted(authors, key=_h)[:2] for i, j in PAIRS]
-    keys += [_h(f"-{k}\x1d" + "\x1e".join(code[:k] + code[k + 1 :])) for k in range(BLOCKS)]
-    return [_signed(k) for k in keys]
+    codes = [0] * BLOCKS
+    for t in set(tokens):
+        block, h = _token(t)
+        codes[block] += h
+    return [_signed(c) for c in codes]
+
+
+def author_codes(people: list[str]) -> list[int]:
+    """The two least hashes of the author tokens."""
+    return sorted(_signed(_token(a)[1]) for a in people)[:2]
 
 
 def near(a: str, b: str) -> bool:
@@ -227,53 +221,56 @@ def same_people(x: list[str], y: list[str]) -> bool:
     return any(near(a, b) for a in x if len(a) >= 5 for b in y if len(b) >= 5)
 
 
-FEATURES = "title_key string, tokens array<string>, people array<string>"
+FEATURES = "title bigint, tokens string, people string, codes array<bigint>, authors array<bigint>"
 
 
 def work_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, doi, arxiv, *keep, title_key, tokens, people) of rows with id, title, authors, doi, arxiv_id.
+    """(id, doi, arxiv, *keep, title, tokens, people, codes, authors) of rows with id, title, authors, doi, arxiv_id.
 
-    title_key is the sorted tokens as one string, with the authors' first token if the title is short; null for a
-    title without tokens (null, empty, only signs).
+    title is a 64-bit hash of the sorted tokens, with an author token if the title is short; null for a title without
+    tokens (null, empty, only signs).  tokens and people are space-separated; codes are the blocks of the fingerprint,
+    empty for short titles, which are met by their hash only.
     """
     columns = rows.select("id", clean_doi(F.col("doi")).alias("doi"), clean_arxiv(F.col("arxiv_id")).alias("arxiv"), *keep, "title", "authors")
     n = 3 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, tokens, people = [], [], []
-            for title, authors in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                t, p = title_tokens(title), author_tokens(authors)
-                key = " ".join(sorted(t)) if t else None
-                if t and len(t) < SHORT_TITLE:
-                    key += "\x1d" + min(p, key=_h, default="")
-                keys.append(key)
-                tokens.append(t)
-                people.append(p)
-            kinds = pa.list_(pa.string())
+            titles, tokens, people, codes, authors = [], [], [], [], []
+            for title, names in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                t, p = title_tokens(title), author_tokens(names)
+                short = len(t) < SHORT_TITLE
+                titles.append(_signed(_h(" ".join(sorted(t)) + ("\x1d" + min(p, key=_h, default="") if short else ""))) if t else None)
+                tokens.append(" ".join(t))
+                people.append(" ".join(p))
+                codes.append([] if short else block_codes(t))
+                authors.append([] if short else author_codes(p))
+            longs = pa.list_(pa.int64())
             own = [batch.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.string()), pa.array(tokens, kinds), pa.array(people, kinds)], names=["id", "doi", "arxiv", *keep, "title_key", "tokens", "people"])
+            made = [pa.array(titles, pa.int64()), pa.array(tokens, pa.string()), pa.array(people, pa.string()), pa.array(codes, longs), pa.array(authors, longs)]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=["id", "doi", "arxiv", *keep, "title", "tokens", "people", "codes", "authors"])
 
     kept = "".join(f"{c} {columns.schema[c].dataType.simpleString()}, " for c in keep)
     return columns.mapInArrow(run, f"id {columns.schema['id'].dataType.simpleString()}, doi string, arxiv string, {kept}{FEATURES}")
 
 
-def block_index(titles: DataFrame) -> DataFrame:
-    """(key, title_key, print) of the rotated block tables; titles: (title_key, tokens, people), one row a title_key."""
+def pair_keys() -> Column:
+    """Keys with authors: each two of the four blocks rotated to the front, with either author token; arrays of longs."""
+    code = lambda i: F.element_at("codes", i + 1)
+    tables = lambda a: F.array(*[F.xxhash64(F.lit(10 * i + j), code(i), code(j), a) for i, j in PAIRS])
+    return F.when(F.size("codes") == BLOCKS, F.flatten(F.transform("authors", tables))).otherwise(F.array().cast("array<bigint>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, keys, prints = [], [], []
-            for i, (t, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                own = table_keys(t or [], p or [])
-                at += [i] * len(own)
-                keys += own
-                if own:
-                    b = fingerprint(t)
-                    prints += [_signed(b[0] | b[1] << 16 | b[2] << 32 | b[3] << 48)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(prints, pa.int64())], names=["key", "title_key", "print"])
 
-    return titles.select("title_key", "tokens", "people").mapInArrow(run, "key bigint, title_key string, print bigint")
+def triple_keys() -> Column:
+    """Keys without authors: each three of the four blocks rotated to the front."""
+    code = lambda i: F.element_at("codes", i + 1)
+    keys = F.array(*[F.xxhash64(F.lit(100 + k), *[code(i) for i in range(BLOCKS) if i != k]) for k in range(BLOCKS)])
+    return F.when(F.size("codes") == BLOCKS, keys).otherwise(F.array().cast("array<bigint>"))
+
+
+def fingerprint() -> Column:
+    """The 64 bits of the four blocks' low 16."""
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: F.shiftleft(a, 16).bitwiseOR(c.bitwiseAND(F.lit(0xFFFF).cast("long"))))
 
 
 def verified_pairs(pairs: DataFrame) -> DataFrame:
@@ -282,19 +279,12 @@ def verified_pairs(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            good = [same_title(tu, tv) and same_people(pu, pv) for tu, pu, tv, pv in zip(*columns)]
+            good = [same_title(tu.split(), tv.split()) and same_people(pu.split(), pv.split()) for tu, pu, tv, pv in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("u", "v", "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, "u string, v string")
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("u", "v"))
+    return pairs.select("u", "v", "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, kinds)
 
 
-#: Bits that two fingerprints of one work may differ in.
+#: Bits that two fingerprints of one work may differ in: two blocks of 16.
 MAX_BITS = 32
-
-
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(u, v): titles that meet in a block table and whose fingerprints differ in at most MAX_BITS bits, each pair once."""
-    a = left.select("key", F.col("title_key").alias("u"), F.col("print").alias("pu"))
-    b = right.select("key", F.col("title_key").alias("v"), F.col("print").alias("pv"))
-    met = a.join(b, "key").where((F.col("u") != F.col("v")) & (F.bit_count(F.col("pu").bitwiseXOR(F.col("pv"))) <= MAX_BITS))
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
