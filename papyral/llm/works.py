@@ -273,6 +273,21 @@ def fingerprint() -> Column:
     return F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: F.shiftleft(a, 16).bitwiseOR(c.bitwiseAND(F.lit(0xFFFF).cast("long"))))
 
 
+def worth_checking(u: Column, v: Column) -> Column:
+    """False where two token strings can't pass :func:`same_title`, told by built-in functions.
+
+    Of the words that only one has, some pair must be within two edits, or all of them joined, or one be a slip of a
+    light word, or one side have none; and one side must have fewer than five.
+    """
+    a, b = F.split(u, " "), F.split(v, " ")
+    x, y = F.array_except(a, b), F.array_except(b, a)
+    light = lambda w: F.exists(F.array(*[F.lit(z) for z in LIGHT_LONG]), lambda z: F.levenshtein(w, z, 2) >= 0)
+    close = F.exists(x, lambda p: F.exists(y, lambda q: F.levenshtein(p, q, 2) >= 0))
+    joined = F.levenshtein(F.array_join(x, ""), F.array_join(y, ""), 2) >= 0
+    slip = F.exists(F.concat(x, y), lambda w: (F.length(w) <= 5) & light(w))
+    return (F.size(x) == 0) | (F.size(y) == 0) | ((F.least(F.size(x), F.size(y)) < 5) & (close | joined | slip))
+
+
 def verified_pairs(pairs: DataFrame) -> DataFrame:
     """(u, v) of the rows (u, v, tokens_u, people_u, tokens_v, people_v) that pass the check of title and people."""
 
@@ -283,7 +298,8 @@ def verified_pairs(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("u", "v"))
-    return pairs.select("u", "v", "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, kinds)
+    likely = pairs.where(worth_checking(F.col("tokens_u"), F.col("tokens_v")))
+    return likely.select("u", "v", "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, kinds)
 
 
 #: Bits that two fingerprints of one work may differ in: two blocks of 16.
