@@ -112,11 +112,11 @@ def title_tokens(title: str | None) -> list[str]:
 
 
 def author_tokens(authors: list[str] | None) -> list[str]:
-    """Sorted distinct words of four letters and more of all names; general words of organisations left out."""
+    """Sorted distinct words of three letters and more of all names; general words of organisations left out."""
     out: set[str] = set()
     for name in authors or ():
         if name:
-            out.update(w for w in LETTERS.findall(fold(name)) if len(w) >= 4 and w not in ORGANISATION)
+            out.update(w for w in LETTERS.findall(fold(name)) if len(w) >= 3 and w not in ORGANISATION)
     return sorted(out)
 
 
@@ -189,7 +189,7 @@ def same_title(x: list[str], y: list[str]) -> bool:
     left_y = [w for w in y if w in only_y and not any(near(w, v) for v in LIGHT_LONG)]
     slips = 0
     for w in list(left_x):
-        partner = next((v for v in left_y if len(w) >= 4 and len(v) >= 3 and near(w, v)), None)
+        partner = next((v for v in left_y if len(w) >= 3 and len(v) >= 3 and near(w, v)), None)
         if partner:
             left_x.remove(w)
             left_y.remove(partner)
