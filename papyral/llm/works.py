@@ -10,7 +10,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import xxhash
@@ -172,6 +172,8 @@ def near(a: str, b: str) -> bool:
 
 
 LIGHT_LONG = tuple(w for w in LIGHT if len(w) >= 3)
+# They with two neighbouring letters swapped.
+LIGHT_SWAPPED = tuple(w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in LIGHT_LONG for i in range(len(w) - 1))
 
 
 def same_title(x: list[str], y: list[str]) -> bool:
@@ -274,18 +276,27 @@ def fingerprint() -> Column:
 
 
 def worth_checking(u: Column, v: Column) -> Column:
-    """False where two token strings can't pass :func:`same_title`, told by built-in functions.
+    """False only where two token strings can't pass :func:`same_title`, told by built-in functions.
 
-    Of the words that only one has, some pair must be within two edits, or all of them joined, or one be a slip of a
-    light word, or one side have none; and one side must have fewer than five.
+    Of the words that only one has, slips of light words aside, one side must have none, or some pair be within two
+    edits and one side have fewer than five, or one side's joined be within two edits of the other's, of which up to two
+    are left off at the end.  Titles that repeat a word are always worth it.
     """
     a, b = F.split(u, " "), F.split(v, " ")
-    x, y = F.array_except(a, b), F.array_except(b, a)
-    light = lambda w: F.exists(F.array(*[F.lit(z) for z in LIGHT_LONG]), lambda z: F.levenshtein(w, z, 2) >= 0)
-    close = F.exists(x, lambda p: F.exists(y, lambda q: F.levenshtein(p, q, 2) >= 0))
-    joined = F.levenshtein(F.array_join(x, ""), F.array_join(y, ""), 2) >= 0
-    slip = F.exists(F.concat(x, y), lambda w: (F.length(w) <= 5) & light(w))
-    return (F.size(x) == 0) | (F.size(y) == 0) | ((F.least(F.size(x), F.size(y)) < 5) & (close | joined | slip))
+    heavy = lambda w: ~(F.exists(F.array(*[F.lit(z) for z in LIGHT_LONG]), lambda z: F.levenshtein(w, z, 1) >= 0) | w.isin(*LIGHT_SWAPPED))
+    alike = lambda p, q: F.levenshtein(p, q, 2) >= 0
+
+    def passes(x: Column, y: Column) -> Column:
+        n, m = F.size(x), F.size(y)
+        close = (F.least(n, m) < 5) & F.exists(x, lambda p: F.exists(y, lambda q: alike(p, q)))
+        cut = lambda w, k: F.array_join(F.slice(w, 1, F.greatest(F.size(w) - k, F.lit(0))), "")
+        joined = [alike(cut(x, i), cut(y, j)) for i, j in ((0, 0), (0, 1), (0, 2), (1, 0), (2, 0))]
+        return (n == 0) | (m == 0) | close | ((F.greatest(n, m) <= 3) & reduce(Column.__or__, joined))
+
+    # A list of one struct, so that the two lists of words are made once.
+    own = F.array(F.struct(F.filter(F.array_except(a, b), heavy).alias("x"), F.filter(F.array_except(b, a), heavy).alias("y")))
+    repeats = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b))
+    return repeats | F.exists(own, lambda p: passes(p["x"], p["y"]))
 
 
 def verified_pairs(pairs: DataFrame) -> DataFrame:

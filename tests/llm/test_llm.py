@@ -104,6 +104,26 @@ def test_titles():
     assert t(None) == t("") == []
 
 
+def test_filter_keeps_what_the_check_accepts(spark):
+    rng = random.Random(5)
+    words = "robust multiscale multi scale maps map liver livr scans noise deep few shot fewshot the with form teh cells #2 kernel kernels".split()
+    pairs = [("robust multiscale maps liver scans", "robust multi scale maps liver scans noise"), ("map maps a b c", "a b c maps maps noise"), ("robust maps liver scans multiscale", "robust maps liver scans multi scale noise cells")]
+    while len(pairs) < 20_000:
+        x = [rng.choice(words) for _ in range(rng.randint(4, 8))]
+        y = list(x)
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(len(y))
+            w = y[i]
+            k = rng.randrange(len(w) + 1)
+            j = min(i + 1, len(y) - 1)
+            y = rng.choice([y[:i] + [w[:k] + "x" + w[k:]] + y[i + 1 :], y[:i] + [w[:k], w[k:]] + y[i + 1 :], y[:i] + ["".join(y[i : j + 1])] + y[j + 1 :], y + [rng.choice(words)], y[:-1] or y, y[:i] + [w[:k] + w[k + 1 :]] + y[i + 1 :]])
+            y = [w for w in y if w] or ["a"]
+        pairs.append((" ".join(x), " ".join(y)))
+    good = [(a, b) for a, b in pairs if works.same_title(a.split(), b.split()) or works.same_title(b.split(), a.split())]
+    kept = spark.createDataFrame(good, "a string, b string").where(works.worth_checking(F.col("a"), F.col("b")) & works.worth_checking(F.col("b"), F.col("a")))
+    assert len(good) > 1000 and kept.count() == len(good)
+
+
 def test_known_works(spark):
     papers = spark.createDataFrame([("doi:10.1/a", "Robust maps of liver scans under noise", ["Ann Lee"], "10.1000/a", None), ("x", None, None, None, None)], "paper_id string, title string, authors array<string>, doi string, arxiv_id string")
     raw = [(1, 1, "Robust maps of livver scans under noise", ["A. Lee"], None, None), (2, 1, "Other title of some kind here", ["Bo Kim"], "n/a", None), (3, 2, "Other title of some kind here", ["Bo Kim"], "-", None), (4, 2, None, None, "https://doi.org/10.1000%2FA", None), (5, 2, None, None, None, None), (6, 2, "", [], "n/a", None)]
