@@ -3,7 +3,7 @@
 The index holds, for every title accepted so far, its fingerprint in rotated block tables and its work,
 and for every identifier its work.  A delivery is looked up there (and within itself): exact identifier, exact
 normalised title, exact block match followed by a check of the Hamming distance and of the
-text.  Then its titles are appended.  History is only joined by key, never compared again.
+text.  Then its titles, and new authors of known ones, are appended.  History is only joined by key, never compared again.
 
 Titles that are equal after normalisation are one entry, so a work delivered a million times
 is one entry too, and block tables hold distinct titles only.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyral.llm.components import connected_components
-from papyral.llm.works import MAX_BITS, fingerprint, pair_keys, triple_keys, verified_pairs, work_features
+from papyral.llm.works import MAX_BITS, fingerprint, of_same_people, pair_keys, same_titles, triple_keys, work_features
 from papyral.session import Scratch, table
 
 #: Deliveries of p5_found by their last batch_id, after the papers: all batches come as one.  Any split gives the same rows.
@@ -23,15 +23,20 @@ DELIVERIES: tuple[int | None, ...] = (None,)
 
 
 class FingerprintIndex:
-    """History as written tables: ``titles`` (title, tokens, people, print), ``blocks`` (key, title) and ``links`` (u, v).
+    """History as written tables: ``titles`` (title, tokens, print), ``people`` (title, people, authors), ``blocks``
+    (key, title), ``near`` (u, v) and ``links`` (u, v).
 
-    ``links`` ties titles with each other and with identifiers (all 64-bit hashes); its components are the works.
+    ``links`` ties titles with identifiers (all 64-bit hashes), ``near`` titles of like text; their components, near
+    titles of strangers left out, are the works.  A title's people are those of all its rows in any delivery, so they
+    are compared only when the works are asked for, and a known title's new people give it new block keys.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.scratch = spark, Scratch(spark, "index")
         self.titles: DataFrame | None = None
+        self.people: DataFrame | None = None
         self.blocks: DataFrame | None = None
+        self.near: DataFrame | None = None
         self.links: DataFrame | None = None
 
     def append(self, rows: DataFrame) -> DataFrame:
@@ -44,30 +49,43 @@ class FingerprintIndex:
         named = lambda kind: F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(kind), F.col(kind)))
         ids = features.where("doi IS NOT NULL OR arxiv IS NOT NULL").select(vertex.alias("u"), F.explode(F.array(named("doi"), named("arxiv"))).alias("v"))
         exact = ids.where(F.col("v").isNotNull())
-        new = features.where(F.col("title").isNotNull()).select("title", F.struct(F.length("people").alias("n"), "tokens", "people", "codes", "authors").alias("m"))
-        fresh = new.groupBy("title").agg(F.max("m").alias("m")).select("title", "m.tokens", "m.people", "m.codes", "m.authors")
-        if self.titles is not None:
-            fresh = fresh.join(self.titles.select("title"), "title", "left_anti")
+        union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+        named_by = F.when(F.col("people") == "", F.array().cast("array<string>")).otherwise(F.split("people", " "))
+        fresh = features.where(F.col("title").isNotNull()).groupBy("title").agg(F.max(F.struct("tokens", "codes")).alias("m"), union(named_by).alias("people"), union("authors").alias("authors"))
+        fresh = fresh.select("title", "m.tokens", "m.codes", "people", "authors", F.lit(False).alias("old"))
+        if self.people is not None:
+            known = self.people.groupBy("title").agg(*[F.flatten(F.collect_list(c)).alias(f"known_{c}") for c in ("people", "authors")])
+            lacks = lambda c: F.when(F.col(f"known_{c}").isNull(), F.col(c)).otherwise(F.array_except(c, f"known_{c}")).alias(c)
+            fresh = fresh.join(known, "title", "left").select("title", "tokens", "codes", lacks("people"), lacks("authors"), F.col("known_people").isNotNull().alias("old"))
+            fresh = fresh.where(~F.col("old") | (F.size("people") > 0))
         fresh = self.scratch.save(fresh, "fresh")
-        blocks = self.scratch.save(fresh.select("title", F.explode(F.concat(pair_keys(), triple_keys())).alias("key")), "blocks")
-        titles = fresh.select("title", "tokens", "people", fingerprint().alias("print"))
+        keys = F.concat(pair_keys(), F.when(~F.col("old"), triple_keys()).otherwise(F.array().cast("array<bigint>")))
+        blocks = self.scratch.save(fresh.select("title", F.explode(keys).alias("key")), "blocks")
+        titles = fresh.where(~F.col("old")).select("title", "tokens", fingerprint().alias("print"))
         a, b = blocks.select("key", F.col("title").alias("u")), blocks.select("key", F.col("title").alias("v"))
         met = a.join(b, "key").where("u < v").select("u", "v")
         if self.blocks is not None:
             old = self.blocks.select("key", F.col("title").alias("v"))
-            met = met.unionByName(a.join(old, "key").select("u", "v"))
+            met = met.unionByName(a.join(old, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         pool = titles if self.titles is None else self.titles.unionByName(titles)
-        side = lambda n: pool.select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("people").alias(f"people_{n}"), F.col("print").alias(f"print_{n}"))
+        side = lambda n: pool.select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("print").alias(f"print_{n}"))
         pairs = met.distinct().join(side("u"), "u").join(side("v"), "v").where(F.bit_count(F.col("print_u").bitwiseXOR(F.col("print_v"))) <= MAX_BITS)
-        links = self.scratch.save(exact.unionByName(verified_pairs(pairs)), "links")
+        near = self.scratch.save(same_titles(pairs), "near")
+        links = self.scratch.save(exact, "links")
+        people = fresh.select("title", "people", "authors")
         self.titles = pool
+        self.people = people if self.people is None else self.people.unionByName(people)
         self.blocks = blocks if self.blocks is None else self.blocks.unionByName(blocks)
+        self.near = near if self.near is None else self.near.unionByName(near)
         self.links = links if self.links is None else self.links.unionByName(links)
         return features.select("id", vertex.alias("vertex"))
 
     def works(self) -> DataFrame:
         """(vertex, work) of the vertices that something ties to another; any other is a work of its own."""
-        return connected_components(self.spark, self.links).withColumnRenamed("component", "work")
+        people = self.people.groupBy("title").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("people"))), " ").alias("people"))
+        side = lambda n: people.select(F.col("title").alias(n), F.col("people").alias(f"people_{n}"))
+        tied = self.links.unionByName(of_same_people(self.near.distinct().join(side("u"), "u").join(side("v"), "v")))
+        return connected_components(self.spark, self.scratch.save(tied, "tied")).withColumnRenamed("component", "work")
 
 
 def paper_rows(papers: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import pyarrow as pa
@@ -299,18 +299,24 @@ def worth_checking(u: Column, v: Column) -> Column:
     return repeats | F.exists(own, lambda p: passes(p["x"], p["y"]))
 
 
-def verified_pairs(pairs: DataFrame) -> DataFrame:
-    """(u, v) of the rows (u, v, tokens_u, people_u, tokens_v, people_v) that pass the check of title and people."""
-
+def _where_words(pairs: DataFrame, what: str, check: Callable[[list[str], list[str]], bool]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            good = [same_title(tu.split(), tv.split()) and same_people(pu.split(), pv.split()) for tu, pu, tv, pv in zip(*columns)]
+            good = [check(x.split(), y.split()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("u", "v"))
-    likely = pairs.where(worth_checking(F.col("tokens_u"), F.col("tokens_v")))
-    return likely.select("u", "v", "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, kinds)
+    return pairs.select("u", "v", f"{what}_u", f"{what}_v").mapInArrow(run, kinds)
+
+
+def same_titles(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the rows (u, v, tokens_u, tokens_v) that pass the check of the title."""
+    return _where_words(pairs.where(worth_checking(F.col("tokens_u"), F.col("tokens_v"))), "tokens", same_title)
+
+
+def of_same_people(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the rows (u, v, people_u, people_v) that pass the check of the people."""
+    return _where_words(pairs, "people", same_people)
 
 
 #: Bits that two fingerprints of one work may differ in: two blocks of 16.

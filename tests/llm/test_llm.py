@@ -133,6 +133,22 @@ def test_known_works(spark):
     assert {r["raw_id"]: r["known_as"] for r in incremental.known_works(spark, rows, papers, (1, None)).collect()} == want
 
 
+def two_blocks_apart(title, changes):
+    """A title of one of the changed words that shares exactly two blocks with the given one."""
+    code = lambda t: works.block_codes(works.title_tokens(t))
+    tries = (title.replace(w, w[:i] + "q" + w[i:]) for w in changes for i in range(1, len(w)))
+    return next(t for t in tries if sum(a == b for a, b in zip(code(title), code(t))) == 2)
+
+
+def test_authors_of_a_later_delivery(spark):
+    title = "Robust maps of liver scans under noise"
+    papers = spark.createDataFrame([("p", title, [], None, None)], "paper_id string, title string, authors array<string>, doi string, arxiv_id string")
+    raw = [(1, 1, title, ["Ann Leeming"], None, None), (2, 2, two_blocks_apart(title, ["liver", "scans", "noise"]), ["Ann Leeming"], None, None), (3, 2, two_blocks_apart(title, ["robust", "maps", "under"]), ["Bo Kimura"], None, None)]
+    rows = spark.createDataFrame(raw, "raw_id bigint, batch_id int, title string, authors array<string>, doi string, arxiv_id string")
+    for split in ((None,), (1, None)):
+        assert {r["raw_id"]: r["known_as"] for r in incremental.known_works(spark, rows, papers, split).collect()} == {1: "p", 2: "p"}
+
+
 def test_matching(spark):
     papers = spark.createDataFrame([("p1", "Robust maps of liver scans under noise", ["Ann Leeming"], None, None), ("p2", "Robust maps of liver scans under noise: erratum", ["Ann Leeming"], None, None)], "paper_id string, title string, authors array<string>, doi string, arxiv_id string").withColumn("published_date", F.lit(None).cast("date"))
     records = spark.createDataFrame([(1, "ROBUST MAPS OF LIVER SCANS UNDER NOISE.", ["A. Leeming"]), (2, "Robust maps of livr scans under noise", []), (3, None, None)], "record_id bigint, title string, authors array<string>").withColumn("published_date", F.lit(None).cast("date"))
