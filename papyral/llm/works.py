@@ -152,8 +152,8 @@ def block_codes(tokens: list[str]) -> list[int]:
 
 
 def author_codes(people: list[str]) -> list[int]:
-    """The two least hashes of the author tokens."""
-    return sorted(_signed(_token(a)[1]) for a in people)[:2]
+    """The hashes of all author tokens."""
+    return sorted(_signed(_token(a)[1]) for a in people)
 
 
 def near(a: str, b: str) -> bool:
@@ -246,7 +246,7 @@ def work_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 tokens.append(" ".join(t))
                 people.append(" ".join(p))
                 codes.append([] if short else block_codes(t))
-                authors.append([] if short else author_codes(p))
+                authors.append(author_codes(p))
             longs = pa.list_(pa.int64())
             own = [batch.column(i) for i in range(n)]
             made = [pa.array(titles, pa.int64()), pa.array(tokens, pa.string()), pa.array(people, pa.string()), pa.array(codes, longs), pa.array(authors, longs)]
@@ -257,10 +257,14 @@ def work_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def pair_keys() -> Column:
-    """Keys with authors: each two of the four blocks rotated to the front, with either author token; arrays of longs."""
+    """Keys with authors, arrays of longs: each two of the four blocks rotated to the front, with every author token.
+
+    Short titles have no blocks: all their tokens with every author token.
+    """
     code = lambda i: F.element_at("codes", i + 1)
     tables = lambda a: F.array(*[F.xxhash64(F.lit(10 * i + j), code(i), code(j), a) for i, j in PAIRS])
-    return F.when(F.size("codes") == BLOCKS, F.flatten(F.transform("authors", tables))).otherwise(F.array().cast("array<bigint>"))
+    words = F.array_join(F.array_sort(F.split("tokens", " ")), " ")
+    return F.when(F.size("codes") == BLOCKS, F.flatten(F.transform("authors", tables))).otherwise(F.transform("authors", lambda a: F.xxhash64(F.lit(200), words, a)))
 
 
 def triple_keys() -> Column:
@@ -310,8 +314,8 @@ def _where_words(pairs: DataFrame, what: str, check: Callable[[list[str], list[s
 
 
 def same_titles(pairs: DataFrame) -> DataFrame:
-    """(u, v) of the rows (u, v, tokens_u, tokens_v) that pass the check of the title."""
-    return _where_words(pairs.where(worth_checking(F.col("tokens_u"), F.col("tokens_v"))), "tokens", same_title)
+    """(u, v) of the rows (u, v, tokens_u, tokens_v) that pass the check of the title; equal words pass too, as short titles do."""
+    return _where_words(pairs.where(worth_checking(F.col("tokens_u"), F.col("tokens_v"))), "tokens", lambda x, y: sorted(x) == sorted(y) or same_title(x, y))
 
 
 def of_same_people(pairs: DataFrame) -> DataFrame:

@@ -149,6 +149,18 @@ def test_authors_of_a_later_delivery(spark):
         assert {r["raw_id"]: r["known_as"] for r in incremental.known_works(spark, rows, papers, split).collect()} == {1: "p", 2: "p"}
 
 
+def test_every_author_token_is_a_key(spark):
+    title = "Robust maps of liver scans under noise"
+    code = lambda a: works.author_codes([a])[0]
+    names = sorted(("leeming", "kimura", "oduya", "petrov", "sandoval", "whitlock"), key=code)
+    shared, first, second = names[-1], names[:2], names[2:4]  # shared is among the two least hashes of neither list
+    brief = min(names[:5], key=works._h), max(names, key=works._h)
+    raw = [(1, 1, title, [*first, shared], None, None), (2, 1, two_blocks_apart(title, ["liver", "scans", "noise"]), [*second, shared], None, None), (3, 1, "Liver maps", [*brief], None, None), (4, 1, "Liver maps", [brief[1]], None, None), (5, 1, "Liver maps", ["Bo Zhu"], None, None)]
+    rows = spark.createDataFrame(raw, "raw_id bigint, batch_id int, title string, authors array<string>, doi string, arxiv_id string")
+    papers = spark.createDataFrame([], "paper_id string, title string, authors array<string>, doi string, arxiv_id string")
+    assert {r["raw_id"]: r["known_as"] for r in incremental.known_works(spark, rows, papers).collect()} == {2: "raw:1", 4: "raw:3"}
+
+
 def test_matching(spark):
     papers = spark.createDataFrame([("p1", "Robust maps of liver scans under noise", ["Ann Leeming"], None, None), ("p2", "Robust maps of liver scans under noise: erratum", ["Ann Leeming"], None, None)], "paper_id string, title string, authors array<string>, doi string, arxiv_id string").withColumn("published_date", F.lit(None).cast("date"))
     records = spark.createDataFrame([(1, "ROBUST MAPS OF LIVER SCANS UNDER NOISE.", ["A. Leeming"]), (2, "Robust maps of livr scans under noise", []), (3, None, None)], "record_id bigint, title string, authors array<string>").withColumn("published_date", F.lit(None).cast("date"))
