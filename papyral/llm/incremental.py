@@ -23,8 +23,8 @@ DELIVERIES: tuple[int | None, ...] = (None,)
 
 
 class FingerprintIndex:
-    """History as written tables: ``titles`` (title, tokens, print), ``people`` (title, people, authors), ``blocks``
-    (key, title), ``near`` (u, v) and ``links`` (u, v).
+    """History as written tables: ``titles`` (title, tokens, print), ``people`` (title, people, authors), ``near``
+    (u, v) and ``links`` (u, v); ``blocks`` (key, title) is made from the written titles and people when it is read.
 
     ``links`` ties titles with identifiers (all 64-bit hashes), ``near`` titles of like text; their components, near
     titles of strangers left out, are the works.  A title's people are those of all its rows in any delivery, so they
@@ -60,7 +60,7 @@ class FingerprintIndex:
             fresh = fresh.where(~F.col("old") | (F.size("people") > 0))
         fresh = self.scratch.save(fresh, "fresh")
         keys = F.concat(pair_keys(), F.when(~F.col("old"), triple_keys()).otherwise(F.array().cast("array<bigint>")))
-        blocks = self.scratch.save(fresh.select("title", F.explode(keys).alias("key")), "blocks")
+        blocks = fresh.select("title", F.explode(keys).alias("key"))  # made anew from the written titles: less disk than a table of keys
         titles = fresh.where(~F.col("old")).select("title", "tokens", fingerprint().alias("print"))
         a, b = blocks.select("key", F.col("title").alias("u")), blocks.select("key", F.col("title").alias("v"))
         met = a.join(b, "key").where("u < v").select("u", "v")
