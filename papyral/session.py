@@ -2,8 +2,8 @@
 
 Lineage is cut by writing a Parquet table into the folder that the session names
 in ``spark.checkpoint.dir`` (shared by all executors on a cluster, so a lost
-executor costs nothing).  Only where the setting is absent, as in tests, a
-temporary folder of this machine is used.
+executor costs nothing).  Where the setting is absent, a session on this machine
+alone, as in tests, gets a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -21,8 +22,14 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a local one if unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_dir()).rstrip("/")
+    """The folder for intermediate tables: ``spark.checkpoint.dir``; unset, a local one, if the session runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return _local_dir()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,25 +37,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Intermediate tables of one run, written under the shared folder."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/papyral/{tag}-{uuid.uuid4().hex[:12]}", 0
+        self.paths: list[str] = []
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return the table read back: the plan behind it is gone."""
+    def save(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+        """Write ``df`` and return the table read back: the plan behind it is gone.  ``by``: a column to partition the folder by."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._papyral_path = path
+        self.paths.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table made by :meth:`save` that nothing reads any more."""
-        path = getattr(df, "_papyral_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables made by :meth:`save` that nothing reads any more."""
+        for df in tables:
+            path = getattr(df, "_papyral_path", None)
+            if path in self.paths:
+                self.paths.remove(path)
+                _delete(self.spark, path)
+
+    def close(self, *kept: DataFrame) -> None:
+        """Delete all tables of the run but those that the result still reads."""
+        stay = {getattr(df, "_papyral_path", None) for df in kept}
+        for path in [p for p in self.paths if p not in stay]:
+            self.paths.remove(path)
+            _delete(self.spark, path)
+
+
+class Buckets:
+    """A lasting table in a folder of the caller's, hashed into buckets by one column, that only grows.
+
+    A join on that column reads it bucket by bucket, without a shuffle of what is stored; a later session opens the
+    same folder and appends to it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, n: int):
+        self.spark, self.path, self.schema, self.key, self.n = spark, path.rstrip("/"), schema, key, n
+        self.name = f"papyral_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{self.path}'")
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows; one file a bucket."""
+        columns = [c.split()[0] for c in self.schema.split(", ")]
+        df.select(*columns).repartition(self.n, self.key).write.mode("append").option("parquet.dictionary.page.size", 8 << 20).insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(self.spark, self.path)
+
+
+#: A key is heavy if it holds this share of the rows, so there are at most 1 / HEAVY of them.
+HEAVY = 1 / 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: list, parts: int = 64) -> DataFrame:
+    """``left`` inner-joined with ``right`` (one row a key), the rows of the ``heavy`` keys spread over ``parts`` partitions.
+
+    ``heavy`` lists the keys with at least the share HEAVY of left's rows (1,000 at most), so it can travel in the plan.
+    """
+    if not heavy:
+        return left.join(right, key)
+    hot: Column = F.col(key).isin(heavy)
+    a = left.withColumn("__salt", F.when(hot, (F.rand(7) * parts).cast("int")).otherwise(0))
+    b = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [key, "__salt"]).drop("__salt")
