@@ -1,91 +1,152 @@
 """Deduplicating new batches against all history, through an index of fingerprints.
 
-The index holds, for every title accepted so far, its fingerprint in rotated block tables and its work,
-and for every identifier its work.  A delivery is looked up there (and within itself): exact identifier, exact
-normalised title, exact block match followed by a check of the Hamming distance and of the
-text.  Then its titles, and new authors of known ones, are appended.  History is only joined by key, never compared again.
-
-Titles that are equal after normalisation are one entry, so a work delivered a million times
-is one entry too, and block tables hold distinct titles only.
+The index is a folder of lasting tables hashed into buckets: block tables (key, title, fingerprint), titles, the people
+of each title, and links.  A delivery is looked up there: exact identifier, exact normalised title, exact block match
+followed by a check of the Hamming distance and of the text.  Then its new titles, and new people of known ones, are
+appended.  Only keys of the delivery are shuffled; history is read bucket by bucket where it lies, and never
+compared with itself again.  Any split of the same rows into deliveries gives the same works.
+
+Titles that are equal after normalisation are one entry, so a work delivered a million times is one entry too, and block
+tables hold distinct titles only.  A title belongs to its first record; a later record of the same title by other people
+(no name word in common, one letter aside, unless one side names nobody) is another work of that title.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyral.llm.components import connected_components
-from papyral.llm.works import MAX_BITS, fingerprint, of_same_people, pair_keys, same_titles, triple_keys, work_features
-from papyral.session import Scratch, table
+from papyral.llm.works import NAMED, alike, block_keys, of_same_people, same_titles, work_features
+from papyral.session import Buckets, Scratch, table
+
+#: Rows of history that one bucket is meant for.
+BUCKET_ROWS = 100_000
+
+
+def _words(people: str) -> Column:
+    return F.when(F.col(people) == "", F.array().cast("array<string>")).otherwise(F.split(people, " "))
+
+
+def _strange(words: str, first: str) -> Column:
+    """Whether both sides name somebody and no word of one is a word of the other, one letter (or two swapped) aside."""
+    letters = lambda w: F.array_join(F.array_sort(F.split(w, "")), "")
+    slip = lambda w, v: (F.levenshtein(w, v, 1) >= 0) | ((F.length(w) == F.length(v)) & (F.levenshtein(w, v, 2) >= 0) & (letters(w) == letters(v)))
+    near = F.exists(words, lambda w: (F.length(w) >= 5) & F.exists(first, lambda v: (F.length(v) >= 5) & slip(w, v)))
+    return (F.size(words) > 0) & (F.size(first) > 0) & ~F.arrays_overlap(words, first) & ~near
+
+
+def _other() -> Column:
+    """The vertex of a stranger to a title."""
+    return F.xxhash64(F.lit("by"), "title", "people")
 
-#: Deliveries of p5_found by their last batch_id, after the papers: all batches come as one.  Any split gives the same rows.
-DELIVERIES: tuple[int | None, ...] = (None,)
+
+def _placed(features: DataFrame, strange: DataFrame) -> DataFrame:
+    """features with their ``vertex``."""
+    marked = features.join(strange.withColumn("stranger", F.lit(True)), ["title", "people"], "left")
+    return marked.withColumn("vertex", F.coalesce(F.when(F.col("stranger"), _other()), F.col("title"), F.xxhash64(F.lit("row"), F.col("id"))))
 
 
 class FingerprintIndex:
-    """History as written tables: ``titles`` (title, tokens, print), ``people`` (title, people, authors), ``near``
-    (u, v) and ``links`` (u, v); ``blocks`` (key, title) is made from the written titles and people when it is read.
+    """History as tables in ``folder``; a later session that opens the same folder goes on where the last one ended.
 
-    ``links`` ties titles with identifiers (all 64-bit hashes), ``near`` titles of like text; their components, near
-    titles of strangers left out, are the works.  A title's people are those of all its rows in any delivery, so they
-    are compared only when the works are asked for, and a known title's new people give it new block keys.
+    titles (title, tokens, words, first): a row with the tokens and the first record's name words for each title, further
+    rows for words that later records of its own work bring; blocks (key, title, print): the rotated block tables; links
+    (u, v, kind): what ties vertices, for certain or (kind ``near``) by like text; strangers (title, people): records of a
+    title that are another work; each row with the number ``n`` of its delivery.  Vertices are 64-bit hashes of titles,
+    of strangers, of identifiers, and of rows without a title.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 12):
         self.spark, self.scratch = spark, Scratch(spark, "index")
-        self.titles: DataFrame | None = None
-        self.people: DataFrame | None = None
-        self.blocks: DataFrame | None = None
-        self.near: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Look a delivery up in the index and add it; gives (id, vertex) of its rows.
-
-        rows: id, title, authors, doi, arxiv_id.  A row without a title is a vertex of its own, tied by its identifiers.
+        folder = (folder or f"{self.scratch.root}/tables").rstrip("/")
+        made = lambda name, schema, key: Buckets(spark, f"{folder}/{name}", f"{schema}, n int", key, buckets)
+        self.titles = made("titles", "title bigint, tokens string, print bigint, tables int, words array<string>, first boolean", "title")
+        self.blocks = made("blocks", "key bigint, title bigint, print bigint", "key")
+        self.links = made("links", "u bigint, v bigint, kind string, people string", "u")
+        self.n = self.links.read().agg(F.max("n")).first()[0] or 0
+        self.done, self.known_works = 0, None
+
+    def append(self, features: DataFrame) -> None:
+        """Look a delivery up in the index and add it.
+
+        features: what :func:`work_features` makes of its rows, as a written table.  :meth:`vertices` places the rows.
         """
-        features = self.scratch.save(work_features(rows), "features")
-        vertex = F.coalesce(F.col("title"), F.xxhash64(F.lit("row"), F.col("id")))
-        named = lambda kind: F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(kind), F.col(kind)))
-        ids = features.where("doi IS NOT NULL OR arxiv IS NOT NULL").select(vertex.alias("u"), F.explode(F.array(named("doi"), named("arxiv"))).alias("v"))
-        exact = ids.where(F.col("v").isNotNull())
-        union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-        named_by = F.when(F.col("people") == "", F.array().cast("array<string>")).otherwise(F.split("people", " "))
-        fresh = features.where(F.col("title").isNotNull()).groupBy("title").agg(F.max(F.struct("tokens", "codes")).alias("m"), union(named_by).alias("people"), union("authors").alias("authors"))
-        fresh = fresh.select("title", "m.tokens", "m.codes", "people", "authors", F.lit(False).alias("old"))
-        if self.people is not None:
-            known = self.people.groupBy("title").agg(*[F.flatten(F.collect_list(c)).alias(f"known_{c}") for c in ("people", "authors")])
-            lacks = lambda c: F.when(F.col(f"known_{c}").isNull(), F.col(c)).otherwise(F.array_except(c, f"known_{c}")).alias(c)
-            fresh = fresh.join(known, "title", "left").select("title", "tokens", "codes", lacks("people"), lacks("authors"), F.col("known_people").isNotNull().alias("old"))
-            fresh = fresh.where(~F.col("old") | (F.size("people") > 0))
-        fresh = self.scratch.save(fresh, "fresh")
-        keys = F.concat(pair_keys(), F.when(~F.col("old"), triple_keys()).otherwise(F.array().cast("array<bigint>")))
-        blocks = fresh.select("title", F.explode(keys).alias("key"))  # made anew from the written titles: less disk than a table of keys
-        titles = fresh.where(~F.col("old")).select("title", "tokens", fingerprint().alias("print"))
-        a, b = blocks.select("key", F.col("title").alias("u")), blocks.select("key", F.col("title").alias("v"))
-        met = a.join(b, "key").where("u < v").select("u", "v")
-        if self.blocks is not None:
-            old = self.blocks.select("key", F.col("title").alias("v"))
-            met = met.unionByName(a.join(old, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-        pool = titles if self.titles is None else self.titles.unionByName(titles)
-        side = lambda n: pool.select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("print").alias(f"print_{n}"))
-        pairs = met.distinct().join(side("u"), "u").join(side("v"), "v").where(F.bit_count(F.col("print_u").bitwiseXOR(F.col("print_v"))) <= MAX_BITS)
-        near = self.scratch.save(same_titles(pairs), "near")
-        links = self.scratch.save(exact, "links")
-        people = fresh.select("title", "people", "authors")
-        self.titles = pool
-        self.people = people if self.people is None else self.people.unionByName(people)
-        self.blocks = blocks if self.blocks is None else self.blocks.unionByName(blocks)
-        self.near = near if self.near is None else self.near.unionByName(near)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return features.select("id", vertex.alias("vertex"))
+        self.n += 1
+        number = F.lit(self.n).alias("n")
+        titled = features.where(F.col("title").isNotNull())
+        classes = titled.groupBy("title", "people").agg(F.min("id").alias("id"), F.min("tokens").alias("tokens"), F.min("print").alias("print"), F.min("tables").alias("tables"))
+        batch = classes.groupBy("title").agg(F.min(F.struct("id", "people")).alias("f")).select("title", _words("f.people").alias("batch_first"))
+        # History is read bucket by bucket; what is built in memory and shuffled is the delivery's side.
+        known = self.titles.read().join(titled.select("title").distinct().hint("shuffle_hash"), "title", "left_semi").groupBy("title")
+        known = known.agg(F.flatten(F.collect_list("words")).alias("known"), F.flatten(F.collect_list(F.when(F.col("first"), F.col("words")))).alias("known_first"))
+        firsts = batch.join(known, "title", "left").select("title", F.coalesce("known_first", "batch_first").alias("first"), "known", F.col("known").isNotNull().alias("old"))
+        met = classes.join(firsts, "title").select("title", "people", "tokens", "print", "tables", _words("people").alias("words"), "first", "known", "old")
+        met = self.scratch.save(met.withColumn("stranger", _strange("words", "first")), "met")
+        # Words that the title's own work has not shown before make new keys; a new title makes all of its keys.
+        union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("words"))))
+        fresh = met.where(~F.col("stranger")).groupBy("title").agg(*[F.max(c).alias(c) for c in ("tokens", "print", "tables", "old", "first", "known")], union.alias("words"))
+        row = lambda tokens, tables, words, first: F.struct(tokens.alias("tokens"), tables.alias("tables"), words.alias("words"), F.lit(first).alias("first"))
+        named, untold = F.col("tables").bitwiseAND(F.lit(NAMED)), F.lit(None).cast("string")
+        new = F.array(row(F.col("tokens"), F.col("tables"), F.col("first"), True), row(untold, named, F.array_except("words", "first"), False))
+        more = F.array(row(untold, named, F.array_except("words", "known"), False))
+        rows = fresh.select("title", "print", F.inline(F.when(F.col("old"), more).otherwise(new))).where(F.col("first") | (F.size("words") > 0))
+        self.titles.append(rows.select("title", "tokens", "print", "tables", "words", "first", number))
+        fresh = self.titles.read().where(F.col("n") == self.n)
+        self.blocks.append(block_keys(fresh.withColumn("p", F.col("print")), F.col("words"), "title", "p").select("key", "title", F.col("p").alias("print"), number))
+        blocks = self.blocks.read()
+        a = blocks.where(F.col("n") == self.n).select("key", F.col("title").alias("u"), F.col("print").alias("print_u"))
+        b = blocks.select("key", F.col("title").alias("v"), F.col("print").alias("print_v"))
+        pairs = a.hint("shuffle_hash").join(b, "key").where((F.col("u") != F.col("v")) & alike("print_u", "print_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        side = lambda n: self.titles.read().where(F.col("first")).select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"))
+        both = side("v").join(side("u").join(pairs.hint("shuffle_hash"), "u").hint("shuffle_hash"), "v")
+        nothing = F.lit(None).cast("string").alias("people")
+        near = same_titles(both).select("u", "v", F.lit("near").alias("kind"), nothing)
+        # Certain ties: identifiers, and the name words by which records of one title find each other.
+        strange = met.where("stranger").select("title", "people")
+        code = lambda kind: F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(kind), F.col(kind)))
+        ids = _placed(features.where("doi IS NOT NULL OR arxiv IS NOT NULL"), strange).select(F.col("vertex").alias("u"), F.explode(F.array(code("doi"), code("arxiv"))).alias("v")).where(F.col("v").isNotNull())
+        by_word = met.select("title", F.when(F.col("stranger"), _other()).otherwise(F.col("title")).alias("u"), F.explode(F.when(F.col("stranger"), F.col("words")).otherwise(F.array_except("words", "first"))).alias("w"))
+        sure = ids.unionByName(by_word.select("u", F.xxhash64(F.lit("of"), "title", "w").alias("v"))).distinct().select("u", "v", F.lit("sure").alias("kind"), nothing)
+        others = strange.select(F.col("title").alias("u"), _other().alias("v"), F.lit("stranger").alias("kind"), "people")
+        self.links.append(near.unionByName(sure).unionByName(others).select("u", "v", "kind", "people", number))
+        self.scratch.drop(met)
+
+    def vertices(self, features: DataFrame) -> DataFrame:
+        """(id, vertex) of rows that were appended."""
+        strange = self.links.read().where("kind = 'stranger'").select(F.col("u").alias("title"), "people").distinct()
+        return _placed(features, strange).select("id", "vertex")
 
     def works(self) -> DataFrame:
-        """(vertex, work) of the vertices that something ties to another; any other is a work of its own."""
-        people = self.people.groupBy("title").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("people"))), " ").alias("people"))
+        """(vertex, work) of the vertices that something ties to another; any other is a work of its own.
+
+        Only what came since the last call is contracted, between the works that it touches.
+        """
+        fresh = F.col("n") > self.done
+        links = self.links.read()
+        near = links.where("kind = 'near'").select("u", "v", "n")
+        pairs = near.where(fresh)
+        if self.done:  # new people may vouch for titles that were near before
+            changed = self.titles.read().where(fresh).select("title").distinct()
+            pairs = pairs.unionByName(near.join(changed.withColumnRenamed("title", "u"), "u", "left_semi")).unionByName(near.join(changed.withColumnRenamed("title", "v"), "v", "left_semi").select(*near.columns))
+        pairs = self.scratch.save(pairs.select("u", "v").distinct(), "pairs")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("title")).distinct()
+        people = self.titles.read().select("title", F.array_join("words", " ").alias("w")).join(asked.hint("shuffle_hash"), "title", "left_semi")
+        people = people.groupBy("title").agg(F.trim(F.array_join(F.array_sort(F.collect_set("w")), " ")).alias("people"))
         side = lambda n: people.select(F.col("title").alias(n), F.col("people").alias(f"people_{n}"))
-        tied = self.links.unionByName(of_same_people(self.near.distinct().join(side("u"), "u").join(side("v"), "v")))
-        return connected_components(self.spark, self.scratch.save(tied, "tied")).withColumnRenamed("component", "work")
+        tied = links.where(fresh & (F.col("kind") == "sure")).select("u", "v").unionByName(of_same_people(pairs.join(side("u"), "u").join(side("v"), "v")))
+        old = self.known_works
+        if old is not None:
+            at = lambda end: old.select(F.col("vertex").alias(end), F.col("work").alias(f"w{end}"))
+            tied = tied.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("wu", "u").alias("u"), F.coalesce("wv", "v").alias("v"))
+        moved = connected_components(self.spark, self.scratch.save(tied, "tied"))
+        if old is not None:
+            kept = old.join(moved.select(F.col("vertex").alias("work"), F.col("component").alias("to")), "work", "left").select("vertex", F.coalesce("to", "work").alias("work"))
+            moved = self.scratch.save(kept.unionByName(moved.select("vertex", F.col("component").alias("work")).join(old.select("vertex"), "vertex", "left_anti")), "works")
+        else:
+            moved = moved.withColumnRenamed("component", "work")
+        self.known_works, self.done = moved, self.n
+        return moved
 
 
 def paper_rows(papers: DataFrame) -> DataFrame:
@@ -94,33 +155,35 @@ def paper_rows(papers: DataFrame) -> DataFrame:
 
 
 def raw_rows(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col("raw_id").isNotNull()).select(F.col("raw_id").alias("id"), "title", "authors", "doi", "arxiv_id")
+    return raw.where(F.col("raw_id").isNotNull()).select(F.col("raw_id").alias("id"), "title", "authors", "doi", "arxiv_id", "batch_id")
+
+
+def bucket_count(papers: DataFrame, raw: DataFrame) -> int:
+    return max(4, (papers.count() + raw.count()) // BUCKET_ROWS)
 
 
-def known_works(spark: SparkSession, raw: DataFrame, papers: DataFrame, deliveries: tuple[int | None, ...] = DELIVERIES) -> DataFrame:
+def known_works(spark: SparkSession, raw: DataFrame, papers: DataFrame, deliveries: list[list[int | None]] | None = None) -> DataFrame:
     """(raw_id, known_as) of every raw row whose work is in papers or in a raw row of smaller raw_id.
 
-    known_as is the smallest paper_id of the work, else ``raw:`` and its smallest raw_id.  Papers are the first
-    delivery to the index.  Null titles are known by their identifiers only; a row with neither is a work of its own.
+    known_as is the smallest paper_id of the work, else ``raw:`` and its smallest raw_id.  Papers are the first delivery to the
+    index, then each batch_id in order (``deliveries`` groups them otherwise, None standing for rows without one, which
+    come last).  Null titles are known by their identifiers only; a row with neither is a work of its own.
     """
-    index = FingerprintIndex(spark)
-    known = index.append(paper_rows(papers))
-    rows: DataFrame | None = None
-    low: int | None = None
-    for high in deliveries:
-        part = raw
-        if low is not None:
-            part = part.where(F.col("batch_id") > low)
-        if high is not None:
-            part = part.where((F.col("batch_id") <= high) | (F.col("batch_id").isNull() if low is None else F.lit(False)))
-        own = index.append(raw_rows(part))
-        rows = own if rows is None else rows.unionByName(own)
-        low = high
+    index = FingerprintIndex(spark, buckets=bucket_count(papers, raw))
+    features = index.scratch.save(work_features(raw_rows(raw), ("batch_id",)), "raw", by="batch_id")
+    accepted = index.scratch.save(work_features(paper_rows(papers)), "papers")
+    if deliveries is None:  # one row a delivery
+        deliveries = [[r["batch_id"]] for r in features.select("batch_id").distinct().orderBy(F.asc_nulls_last("batch_id")).collect()]
+    index.append(accepted)
+    for batches in deliveries:
+        numbered = [b for b in batches if b is not None]
+        index.append(features.where(F.col("batch_id").isin(numbered) | (F.col("batch_id").isNull() if None in batches else F.lit(False))))
+    rows, known = index.vertices(features), index.vertices(accepted).select(F.col("id").alias("paper"), "vertex")
     # The least ids of each vertex, then of each work: partial minima before every shuffle.
-    firsts = known.groupBy("vertex").agg(F.min("id").alias("paper")).select("vertex", "paper", F.lit(None).cast("long").alias("raw"))
+    firsts = known.groupBy("vertex").agg(F.min("paper").alias("paper")).select("vertex", "paper", F.lit(None).cast("long").alias("raw"))
     firsts = firsts.unionByName(rows.groupBy("vertex").agg(F.min("id").alias("raw")).select("vertex", F.lit(None).cast("string").alias("paper"), "raw"))
     placed = firsts.join(index.works(), "vertex", "left").select("vertex", F.coalesce("work", "vertex").alias("work"), "paper", "raw")
-    placed = index.scratch.save(placed, "placed")
+    placed = index.scratch.save(placed, "vertices")
     first = placed.groupBy("work").agg(F.min("paper").alias("paper"), F.min("raw").alias("first"))
     by_vertex = placed.where(F.col("raw").isNotNull()).select("vertex", "work").join(first, "work").select("vertex", "paper", "first")
     tied = rows.join(by_vertex, "vertex").where(F.col("paper").isNotNull() | (F.col("id") > F.col("first")))

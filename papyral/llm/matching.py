@@ -1,9 +1,9 @@
 """Matching entities across sources without keys: a cascade of deterministic rules.
 
-Each rule is an exact join on a weaker combination of attributes than the one before; records
-that a rule resolves are taken out by an anti-join before the next.  Rules on parts of a title are
-followed by a check of the whole.  A rule's confidence is its precision on labelled pairs of papers
-(verdicts of match_pairs), smoothed by one success and one failure.
+Each rule is an exact join on a combination of attributes that is weaker than the one before (see RULES); records
+that a rule resolves are taken out by an anti-join before the next.  What meets is checked as a whole: titles that agree
+but for slips, people that do not contradict.  A rule's confidence is its precision on labelled pairs of papers
+(verdicts of match_pairs, put through the same keys and the same check), smoothed by one success and one failure.
 
 Papers that are one work (see :mod:`papyral.llm.incremental`) are resolved together: a record that
 meets one of them is matched to all.
@@ -14,74 +14,85 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyral.llm.incremental import FingerprintIndex, paper_rows
-from papyral.llm.works import author_codes, block_codes, pair_keys, same_people, same_title, triple_keys, work_features
+from papyral.llm.incremental import BUCKET_ROWS, FingerprintIndex
+from papyral.llm.works import block_keys, same_people, same_title, work_features
 from papyral.session import Scratch, table
 
-RULES = ("title and author", "title and date", "title blocks and author", "three title blocks")
-#: Days between a preprint and its venue that rules without authors allow.
-MAX_DAYS = 5 * 366
+RULES = ("title and author", "title and year", "title, a date missing", "two title blocks and author", "three title blocks and year", "three title blocks, a date missing")
+#: Years from a preprint to its venue, and back, within which rules with a year join.
+YEARS_AFTER, YEARS_BEFORE = 5, 1
 
 
-def rule_of(tu: list[str], pu: list[str], du, tv: list[str], pv: list[str], dv) -> int | None:
-    """The first rule under which two records are joined, or None: the cascade on one pair."""
-    apart = du is not None and dv is not None and abs((du - dv).days) > MAX_DAYS
-    if tu and sorted(tu) == sorted(tv):
-        if set(pu) & set(pv):
-            return 0
-        return 1 if same_people(pu, pv) and not apart else None
-    if not same_title(tu, tv) or not same_people(pu, pv):
-        return None
-    same = sum(a == b for a, b in zip(block_codes(tu), block_codes(tv)))
-    if same >= 2 and set(author_codes(pu)) & set(author_codes(pv)):
-        return 2
-    return 3 if same >= 3 and not apart else None
+def _people(c: str = "people") -> Column:
+    return F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
-def rule_precision(features: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rule, fired, same, confidence) of every rule on the labelled pairs of papers; features by id = paper_id.
+def rule_keys(rows: DataFrame, rule: int, later: bool) -> DataFrame:
+    """(id, key) of features with published_date: what rule joins on.  ``later``: the side published after the other.
 
-    Pairs whose latest verdict is same or different are labels; confidence = (same + 1) / (fired + 2).
+    The earlier side has its year as its key, the later one every year that may precede its own; where a date is
+    missing, rows without one meet those with any: the dated have the key of the rule both with and without it.
     """
-    verdict = F.lower(F.trim("verdict"))
-    usable = pairs.where(F.col("left_key").isNotNull() & F.col("right_key").isNotNull() & (F.col("left_key") != F.col("right_key")))
-    known = usable.groupBy(F.least("left_key", "right_key").alias("u"), F.greatest("left_key", "right_key").alias("v")).agg(F.max(F.struct(F.col("decided_at"), verdict.alias("w"))).alias("m"))
-    known = known.where(F.col("m.w").isin("same", "different")).select("u", "v", (F.col("m.w") == "same").alias("same"))
-    one = features.groupBy("id").agg(F.max(F.struct("tokens", "people", "published_date")).alias("m"))
-    side = lambda n: one.select(F.col("id").alias(n), *[F.col(f"m.{c}").alias(f"{c}_{n}") for c in ("tokens", "people", "published_date")])
-    rows = known.join(side("u"), "u").join(side("v"), "v").select("same", "tokens_u", "people_u", "published_date_u", "tokens_v", "people_v", "published_date_v")
+    year = F.year("published_date")
+    span = F.sequence(year - YEARS_AFTER, year + YEARS_BEFORE) if later else F.array(year)
+    if rule in (0, 3):
+        extra = _people()
+    elif rule in (1, 4):
+        extra = F.when(year.isNotNull(), F.transform(span, lambda y: y.cast("string"))).otherwise(F.array().cast("array<string>"))
+    else:
+        extra = F.array(F.lit(""))
+    rows = rows.withColumn("__x", extra)
+    if rule < 3:
+        return rows.select("id", F.explode("__x").alias("x"), "title").select("id", F.xxhash64("title", "x").alias("key"))
+    front = block_keys(rows, _people(), "id", "__x")
+    if rule == 3:
+        return front.where("t < 6 OR t = 10").select("id", "key")
+    return front.where("t BETWEEN 6 AND 9").select("id", "key", F.explode("__x").alias("x")).select("id", F.xxhash64("key", "x").alias("key"))
+
+
+def _agree(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: int | None) -> DataFrame:
+    """The rows of pairs (u, v, ...) whose titles and people agree; of the rules that need it, a date must be missing."""
+    side = lambda df, key: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in ("tokens", "people", "published_date")])
+    kept = pairs.columns
+    rows = pairs.join(side(left, "u"), "u").join(side(right, "v"), "v")
+    undated = F.col("published_date_u").isNull() | F.col("published_date_v").isNull()
+    rows = rows.where(undated) if rule in (2, 5) else rows if rule is not None else rows.where(~F.col("rule").isin(2, 5) | undated)
+    n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fired = [rule_of(tu.split(), pu.split(), du, tv.split(), pv.split(), dv) for tu, pu, du, tv, pv, dv in zip(*(batch.column(i).to_pylist() for i in range(1, 7)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fired, pa.int32())], names=["same", "rule"])
+            words = ([x.split() for x in row] for row in zip(*(batch.column(i).to_pylist() for i in range(n, n + 4))))
+            good = [(sorted(tu) == sorted(tv) or same_title(tu, tv)) and same_people(pu, pv) for tu, pu, tv, pv in words]
+            yield batch.select(list(range(n))).filter(pa.array(good, pa.bool_()))
 
-    counted = rows.mapInArrow(run, "same boolean, rule int").where("rule is not null").groupBy("rule").agg(F.count("*").alias("fired"), F.count_if("same").alias("same"))
-    spark = features.sparkSession
-    every = spark.createDataFrame([(i,) for i in range(len(RULES))], "rule int")
-    filled = every.join(counted, "rule", "left").select("rule", F.coalesce("fired", F.lit(0)).alias("fired"), F.coalesce("same", F.lit(0)).alias("same"))
-    return filled.withColumn("confidence", (F.col("same") + 1) / (F.col("fired") + 2))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, kinds)
 
 
-def _checked(pairs: DataFrame, left: DataFrame, right: DataFrame, dated: bool) -> DataFrame:
-    """(record, id) of the pairs whose titles and people agree, and whose dates do if ``dated``."""
-    side = lambda df, key, n: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{n}") for c in ("tokens", "people", "published_date")])
-    rows = pairs.distinct().join(side(left, "record", "u"), "record").join(side(right, "id", "v"), "id")
-    if dated:
-        gap = F.abs(F.datediff("published_date_u", "published_date_v"))
-        rows = rows.where(gap.isNull() | (gap <= MAX_DAYS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = ([x.split() for x in row] for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6))))
-            good = [(sorted(tu) == sorted(tv) or same_title(tu, tv)) and same_people(pu, pv) for tu, pu, tv, pv in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["record", "id"]).filter(pa.array(good, pa.bool_()))
+def rule_precision(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rule, fired, same, confidence) of every rule on the labelled pairs of papers; features by id = paper_id.
 
-    kinds = f"record {left.schema['id'].dataType.simpleString()}, id {right.schema['id'].dataType.simpleString()}"
-    return rows.select("record", "id", "tokens_u", "people_u", "tokens_v", "people_v").mapInArrow(run, kinds)
+    Pairs whose latest verdict is same or different are labels; a pair counts for the first rule that joins it, whichever
+    of the two is taken as the later; confidence = (same + 1) / (fired + 2).
+    """
+    verdict = F.lower(F.trim("verdict"))
+    usable = pairs.where(F.col("left_key").isNotNull() & F.col("right_key").isNotNull() & (F.col("left_key") != F.col("right_key")))
+    known = usable.groupBy(F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b")).agg(F.max(F.struct(F.col("decided_at"), verdict.alias("w"))).alias("m"))
+    known = known.where(F.col("m.w").isin("same", "different")).select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))), (F.col("m.w") == "same").alias("same"))
+    asked = features.join(known.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
+    keys = lambda later: [rule_keys(asked, n, later).select("id", F.lit(n).alias("rule"), "key") for n in range(len(RULES))]
+    every = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(every(parts[1:]))
+    later, earlier = every(keys(True)).withColumnRenamed("id", "u"), every(keys(False)).withColumnRenamed("id", "v")
+    met = known.join(later, "u").join(earlier, ["v", "rule", "key"]).select("u", "v", "same", "rule").distinct()
+    joined = _agree(met, asked, asked, None)
+    first = joined.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("rule").alias("rule"), F.max("same").alias("same"))
+    counted = first.groupBy("rule").agg(F.count("*").alias("fired"), F.count_if("same").alias("same"))
+    named = features.sparkSession.createDataFrame([(i, x) for i, x in enumerate(RULES)], "rule int, name string")
+    filled = named.join(counted, "rule", "left").select("rule", "name", F.coalesce("fired", F.lit(0)).alias("fired"), F.coalesce("same", F.lit(0)).alias("same"))
+    return filled.withColumn("confidence", (F.col("same") + 1) / (F.col("fired") + 2))
 
 
 def match_records(spark: SparkSession, records: DataFrame, papers: DataFrame, labels: DataFrame) -> DataFrame:
@@ -90,40 +101,38 @@ def match_records(spark: SparkSession, records: DataFrame, papers: DataFrame, la
     Null or empty titles match nothing; without authors on either side the title and the dates decide; repeated rows count once.
     """
     scratch = Scratch(spark, "matching")
-    index = FingerprintIndex(spark)
-    own = index.append(paper_rows(papers))
-    works = own.distinct().join(index.works(), "vertex", "left").select("id", F.coalesce("work", "vertex").alias("work"))
-    works = scratch.save(works, "works")
+    plain = papers.where(F.col("paper_id").isNotNull()).select(F.col("paper_id").alias("id"), "title", "authors", "doi", "arxiv_id", "published_date").distinct()
+    right = scratch.save(work_features(plain, ("published_date",)), "papers")
+    index = FingerprintIndex(spark, buckets=max(4, right.count() // BUCKET_ROWS))
+    index.append(right)
+    works = scratch.save(index.vertices(right).distinct().join(index.works(), "vertex", "left").select("id", F.coalesce("work", "vertex").alias("work")), "works")
+    right = right.where("title IS NOT NULL").drop("doi", "arxiv")
     nothing = F.lit(None).cast("string")
-    source = papers.where(F.col("paper_id").isNotNull()).select(F.col("paper_id").alias("id"), "title", "authors", nothing.alias("doi"), nothing.alias("arxiv_id"), "published_date").distinct()
-    right = scratch.save(work_features(source, ("published_date",)).where("title is not null"), "papers")
     rows = records.where(F.col("record_id").isNotNull()).select(F.col("record_id").alias("id"), "title", "authors", nothing.alias("doi"), nothing.alias("arxiv_id"), "published_date").distinct()
-    left = scratch.save(work_features(rows, ("published_date",)).where("title is not null"), "records")
+    left = scratch.save(work_features(rows, ("published_date",)).where("title IS NOT NULL"), "records")
     confidence = scratch.save(rule_precision(right, labels), "precision")
     found: DataFrame | None = None
     for n in range(len(RULES)):
-        rest = left if found is None else left.join(found.select(F.col("record").alias("id")).distinct(), "id", "left_anti")
-        if n == 0:
-            people = lambda df: df.select("title", "id", F.explode(F.split("people", " ")).alias("person")).where("person <> ''")
-            hit = people(rest).withColumnRenamed("id", "record").join(people(right), ["title", "person"]).select("record", "id").distinct()
-        elif n == 1:
-            met = rest.select("title", F.col("id").alias("record")).join(right.select("title", "id"), "title").select("record", "id")
-            hit = _checked(met, rest, right, True)
-        else:
-            keys = pair_keys() if n == 2 else triple_keys()
-            a, b = rest.select(F.col("id").alias("record"), F.explode(keys).alias("key")), right.select("id", F.explode(keys).alias("key"))
-            hit = _checked(a.join(b, "key").select("record", "id"), rest, right, n == 3)
+        rest = left if found is None else left.join(found.select(F.col("u").alias("id")).distinct(), "id", "left_anti")
+        a, b = rule_keys(rest, n, True).withColumnRenamed("id", "u"), rule_keys(right, n, False).withColumnRenamed("id", "v")
+        hit = a.join(b, "key").select("u", "v").distinct()
+        if n:  # the whole title and a name word in common need no further check
+            hit = _agree(hit, left, right, n)
         hit = scratch.save(hit.withColumn("rule", F.lit(n)), f"rule{n}")
         found = hit if found is None else found.unionByName(hit)
-    whole = found.join(works, "id").groupBy("record", "work").agg(F.min("rule").alias("rule"))
-    named = spark.createDataFrame(list(enumerate(RULES)), "rule int, name string")
-    return (
-        whole.join(works, "work").groupBy(F.col("record").alias("record_id"), F.col("id").alias("paper_id")).agg(F.min("rule").alias("rule"))
-        .join(confidence.select("rule", "confidence"), "rule").join(named, "rule")
-        .select("record_id", "paper_id", F.col("name").alias("rule"), "confidence")
-    )
+    whole = found.join(works.withColumnRenamed("id", "v"), "v").groupBy("u", "work").agg(F.min("rule").alias("rule"))
+    out = whole.join(works, "work").groupBy(F.col("u").alias("record_id"), F.col("id").alias("paper_id")).agg(F.min("rule").alias("rule"))
+    return out.join(confidence.select("rule", "name", "confidence"), "rule").select("record_id", "paper_id", F.col("name").alias("rule"), "confidence")
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_records(spark, table(spark, sf_dir, "venue_records"), table(spark, sf_dir, "papers"), table(spark, sf_dir, "match_pairs"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = match_records(spark, table(spark, sf_dir, "venue_records"), table(spark, sf_dir, "papers"), table(spark, sf_dir, "match_pairs"))
-    return out.select("record_id", "paper_id")
+    return _matched(spark, sf_dir).select("record_id", "paper_id")
+
+
+def p7_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with the rule that made each and its confidence."""
+    return _matched(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from papyral.llm.components import p2_found
 from papyral.llm.incremental import p5_found
-from papyral.llm.matching import p7_found
+from papyral.llm.matching import p7_confidence, p7_found
 from papyral.llm.mixing import p9_mix, p9_shares
 from papyral.llm.names import p6_found
 from papyral.llm.neighbours import p4_found, p4_neighbours
@@ -20,6 +20,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p7_confidence": p7_confidence,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

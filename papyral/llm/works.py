@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -60,8 +61,13 @@ CUT = re.compile(r"(?:…|\.\.\.|\[\.\.\.\])\W*$")
 YEAR_SPELLING = re.compile(r"is(ation|ations|e|ed|es|ing|er)$")
 #: Titles of fewer tokens are tied to their authors too.
 SHORT_TITLE = 4
-BLOCKS = 4
-PAIRS = tuple((i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS))
+BLOCKS, BITS = 4, 16
+#: The rotated tables: the blocks in front, and whether an author's word is part of the key.  Any two changed blocks leave
+#: a pair, any one changed block a triple; the last table is that of short titles.
+TABLES = (*(([i, j], True) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)), *(([i for i in range(BLOCKS) if i != k], False) for k in range(BLOCKS)), ([0, 1, 2, 3], True))
+NAMED = sum(1 << k for k, (_, named) in enumerate(TABLES) if named)
+#: Bits in which the fingerprints of one work's titles may differ.  Two titles that share two blocks by chance differ in 16 on average.
+MAX_BITS = 14
 
 
 def fold(text: str) -> str:
@@ -132,28 +138,60 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@lru_cache(maxsize=100_000)
-def _token(t: str) -> tuple[int, int]:
-    h = _h(t)
-    return h % BLOCKS, (h * 0x9E3779B97F4A7C15 ^ h >> 29) & MASK
+@lru_cache(maxsize=50_000)
+def _gram(g: str) -> tuple[int, int]:
+    """(order, votes): a hash by which grams compete for the block, and 16 counters of 16 bits with 0 or 1 in each."""
+    h = _h(g)
+    return h >> 24, sum(((h >> b) & 1) << (16 * b) for b in range(BITS))
 
 
-def block_codes(tokens: list[str]) -> list[int]:
-    """Four codes, each the sum of the hashes of the distinct tokens that belong to its block.
+@lru_cache(maxsize=200_000)
+def _token(t: str) -> tuple[int, int, int]:
+    """(block, votes, grams) of a word: its block is that of its least pair of letters, so a slip mostly leaves it there."""
+    padded = f"^{t}$"
+    grams = [_gram(g) for g in {padded[i : i + 2] for i in range(len(padded) - 1)}]
+    return min(g[0] for g in grams) % BLOCKS, sum(g[1] for g in grams), len(grams)
 
-    A token belongs to one block only, so a changed word changes two blocks at most, and order changes none.  The low
-    16 bits of the four are the record's 64-bit fingerprint.
-    """
-    codes = [0] * BLOCKS
-    for t in set(tokens):
-        block, h = _token(t)
-        codes[block] += h
-    return [_signed(c) for c in codes]
 
+def fingerprints(titles: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(print, tables) of token lists.
 
-def author_codes(people: list[str]) -> list[int]:
-    """The hashes of all author tokens."""
-    return sorted(_signed(_token(a)[1]) for a in people)
+    print: 64 bits, four blocks of 16.  Each distinct word belongs to one block; the pairs of letters of a block's words
+    vote on each of its bits, the majority sets it.  So a mistyped word changes few bits, mostly of one block, and
+    order changes none.  tables: a bit for each of TABLES in which the record is stored, which is where the
+    blocks in front hold words enough to say something (an empty block never is a key).  Short titles, of whose words
+    any is too much to differ, have the hash of all words as their print and the last table only.
+    """
+    lanes, counts, exact = bytearray(), [], np.zeros(len(titles), np.int64)
+    for i, tokens in enumerate(titles):
+        words = set(tokens)
+        votes, grams, n = [0] * BLOCKS, [0] * BLOCKS, [0] * BLOCKS
+        for t in words:
+            b, v, g = _token(t)
+            votes[b] += v
+            grams[b] += g
+            n[b] += 1
+        for v in votes:
+            lanes += v.to_bytes(2 * BITS, "little")
+        counts.append((*grams, *n))
+        if len(tokens) < SHORT_TITLE:
+            exact[i] = _signed(_h(" ".join(sorted(tokens))))
+    if not titles:
+        return exact, np.zeros(0, np.int32)
+    ballots = np.frombuffer(bytes(lanes), "<u2").reshape(len(titles), BLOCKS, BITS).astype(np.int32)
+    made = np.array(counts, np.int32)
+    grams, n = made[:, :BLOCKS], made[:, BLOCKS:]
+    bits = (2 * ballots > grams[:, :, None]).reshape(len(titles), BLOCKS * BITS)
+    prints = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    short = np.array([len(t) < SHORT_TITLE for t in titles])
+    some = np.array([len(t) > 0 for t in titles])
+    words = n.sum(axis=1)
+    tables = np.zeros(len(titles), np.int32)
+    for k, (blocks, named) in enumerate(TABLES[:-1]):
+        least = np.where(words >= 6, 2, 1) if named else 2
+        tables |= np.where(n[:, blocks].sum(axis=1) >= least, 1 << k, 0).astype(np.int32)
+    tables = np.where(short, np.where(some, 1 << (len(TABLES) - 1), 0), tables)
+    return np.where(short, exact, prints), tables.astype(np.int32)
 
 
 def near(a: str, b: str) -> bool:
@@ -223,60 +261,50 @@ def same_people(x: list[str], y: list[str]) -> bool:
     return any(near(a, b) for a in x if len(a) >= 5 for b in y if len(b) >= 5)
 
 
-FEATURES = "title bigint, tokens string, people string, codes array<bigint>, authors array<bigint>"
+FEATURES = "title bigint, tokens string, people string, print bigint, tables int"
 
 
 def work_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, doi, arxiv, *keep, title, tokens, people, codes, authors) of rows with id, title, authors, doi, arxiv_id.
+    """(id, doi, arxiv, *keep, title, tokens, people, print, tables) of rows with id, title, authors, doi, arxiv_id.
 
     title is a 64-bit hash of the sorted tokens, with an author token if the title is short; null for a title without
-    tokens (null, empty, only signs).  tokens and people are space-separated; codes are the blocks of the fingerprint,
-    empty for short titles, which are met by their hash only.
+    tokens (null, empty, only signs).  tokens and people are space-separated.
     """
     columns = rows.select("id", clean_doi(F.col("doi")).alias("doi"), clean_arxiv(F.col("arxiv_id")).alias("arxiv"), *keep, "title", "authors")
     n = 3 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            titles, tokens, people, codes, authors = [], [], [], [], []
+            titles, people = [], []
+            lists = []
             for title, names in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
                 t, p = title_tokens(title), author_tokens(names)
                 short = len(t) < SHORT_TITLE
                 titles.append(_signed(_h(" ".join(sorted(t)) + ("\x1d" + min(p, key=_h, default="") if short else ""))) if t else None)
-                tokens.append(" ".join(t))
+                lists.append(t)
                 people.append(" ".join(p))
-                codes.append([] if short else block_codes(t))
-                authors.append(author_codes(p))
-            longs = pa.list_(pa.int64())
+            prints, tables = fingerprints(lists)
             own = [batch.column(i) for i in range(n)]
-            made = [pa.array(titles, pa.int64()), pa.array(tokens, pa.string()), pa.array(people, pa.string()), pa.array(codes, longs), pa.array(authors, longs)]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=["id", "doi", "arxiv", *keep, "title", "tokens", "people", "codes", "authors"])
+            made = [pa.array(titles, pa.int64()), pa.array([" ".join(t) for t in lists], pa.string()), pa.array(people, pa.string()), pa.array(prints, pa.int64()), pa.array(tables, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=["id", "doi", "arxiv", *keep, "title", "tokens", "people", "print", "tables"])
 
     kept = "".join(f"{c} {columns.schema[c].dataType.simpleString()}, " for c in keep)
     return columns.mapInArrow(run, f"id {columns.schema['id'].dataType.simpleString()}, doi string, arxiv string, {kept}{FEATURES}")
 
 
-def pair_keys() -> Column:
-    """Keys with authors, arrays of longs: each two of the four blocks rotated to the front, with every author token.
-
-    Short titles have no blocks: all their tokens with every author token.
-    """
-    code = lambda i: F.element_at("codes", i + 1)
-    tables = lambda a: F.array(*[F.xxhash64(F.lit(10 * i + j), code(i), code(j), a) for i, j in PAIRS])
-    words = F.array_join(F.array_sort(F.split("tokens", " ")), " ")
-    return F.when(F.size("codes") == BLOCKS, F.flatten(F.transform("authors", tables))).otherwise(F.transform("authors", lambda a: F.xxhash64(F.lit(200), words, a)))
-
-
-def triple_keys() -> Column:
-    """Keys without authors: each three of the four blocks rotated to the front."""
-    code = lambda i: F.element_at("codes", i + 1)
-    keys = F.array(*[F.xxhash64(F.lit(100 + k), *[code(i) for i in range(BLOCKS) if i != k]) for k in range(BLOCKS)])
-    return F.when(F.size("codes") == BLOCKS, keys).otherwise(F.array().cast("array<bigint>"))
+def block_keys(df: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """(*keep, t, key) of df's rows (print, tables): a row for each table that holds the record, and for each of ``words`` (an
+    array of author words) where the table's key has one.  The key is a hash of the blocks in front and the word."""
+    front = lambda blocks: _signed(sum(0xFFFF << (BITS * b) for b in blocks))
+    rotated = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(1 << k).alias("bit"), F.lit(front(blocks)).alias("mask"), F.lit(named).alias("named")) for k, (blocks, named) in enumerate(TABLES)])
+    stored = df.select(*keep, "print", "tables", words.alias("__w"), F.inline(rotated)).where(F.col("tables").bitwiseAND(F.col("bit")) != 0)
+    spread = stored.select(*keep, "t", F.col("print").bitwiseAND(F.col("mask")).alias("__f"), F.explode(F.when(F.col("named"), F.col("__w")).otherwise(F.array(F.lit("")))).alias("__a"))
+    return spread.select(*keep, "t", F.xxhash64("t", "__f", "__a").alias("key"))
 
 
-def fingerprint() -> Column:
-    """The 64 bits of the four blocks' low 16."""
-    return F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: F.shiftleft(a, 16).bitwiseOR(c.bitwiseAND(F.lit(0xFFFF).cast("long"))))
+def alike(u: str, v: str) -> Column:
+    """Whether two fingerprints differ in MAX_BITS at most."""
+    return F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= MAX_BITS
 
 
 def worth_checking(u: Column, v: Column) -> Column:
@@ -321,7 +349,3 @@ def same_titles(pairs: DataFrame) -> DataFrame:
 def of_same_people(pairs: DataFrame) -> DataFrame:
     """(u, v) of the rows (u, v, people_u, people_v) that pass the check of the people."""
     return _where_words(pairs, "people", same_people)
-
-
-#: Bits that two fingerprints of one work may differ in: two blocks of 16.
-MAX_BITS = 32
