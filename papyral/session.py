@@ -75,6 +75,34 @@ class Scratch:
             _delete(self.spark, path)
 
 
+class Versions:
+    """A table kept as numbered versions ``v=<n>`` in a folder of the caller's: a version is written whole, then it counts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def last(self) -> int:
+        """The number of the last whole version; 0 if there is none."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v=*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return max((int(f.getPath().getParent().getName()[2:]) for f in found or ()), default=0)
+
+    def read(self, n: int | None = None) -> DataFrame | None:
+        n = n or self.last()
+        return self.spark.read.parquet(f"{self.folder}/v={n}") if n else None
+
+    def write(self, df: DataFrame, n: int | None = None) -> DataFrame:
+        """Write the next version (or version ``n`` again, after a failure) and return it."""
+        n = n or self.last() + 1
+        df.write.mode("overwrite").parquet(f"{self.folder}/v={n}")
+        return self.read(n)
+
+    def forget(self, before: int) -> None:
+        """Delete the versions older than ``before``."""
+        for n in range(1, before):
+            _delete(self.spark, f"{self.folder}/v={n}")
+
+
 class Buckets:
     """A lasting table in a folder of the caller's, hashed into buckets by one column, that only grows.
 
