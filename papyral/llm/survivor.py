@@ -1,14 +1,18 @@
 """Best representative of each duplicate group: one surviving record, field by field.
 
 For the abstract: token-level consensus.  The values of a group are aligned progressively
-(longest first), every column is voted by the weight of its tokens, and the existing value
-closest to the consensus survives.  A gap casts no vote, as a cut payload says nothing
-about the words it lacks; so the distance to the consensus is the number of its columns that
-a value leaves empty, and the fullest value wins, ties going to the more trusted source.
+(longest first) and every column is voted by the weight of its tokens; a value votes for a gap where it passes over a column
+between its first and its last token, and casts no vote behind its end, as a cut payload says nothing about the words it
+lacks.  The distance of a value to the consensus is the winning weight of all columns where it has not the voted
+token (a gap costs the same), and the existing value closest to the consensus survives; ties go to the more trusted.
+
+Messages that stand in for an abstract are told by votes as well, over the whole corpus: where two values of a group share
+little wording, the one whose text stands so against others in more papers loses; a text that loses in LEAST_PAPERS papers
+at least, and more often than it wins, is no abstract anywhere.
 
 For the date: the most trusted source that gives a complete and real one.
 
-Both work on one row a (paper, source), the latest delivery; the latest is chosen by an
+All work on one row a (paper, source), the latest delivery; the latest is chosen by an
 aggregate with a partial step before its shuffle, so a paper repeated a million times is no
 hot group.  A group has at most as many values as there are sources.
 """
@@ -17,13 +21,15 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyral.session import table
+from papyral.session import HEAVY, Scratch, spread_join, table
 
 # Where each feed's payload holds the publication date (creation date for openreview).
 DATE_FIELDS = {
@@ -38,18 +44,11 @@ DATE_FIELDS = {
 }
 UNTRUSTED = 2**31 - 1
 
-# Messages that stand in for an abstract, as patterns over the whole of the cleaned text.
-STAND_IN = re.compile(
-    r"^\W*(?:n/?a|none|null|nil|tba|tbd|unknown|abstract"
-    r"|(?:no|abstract not|abstract un)[\w ]{0,12}(?:abstract|available|provided)[^.]{0,60}"
-    r"|abstract withheld[^.]{0,60}|see (?:the )?full[- ]text[^.]{0,40}"
-    r"|an error (?:has )?occurred[^.]{0,80}"
-    r"|please enable (?:scripts|javascript|cookies)[^.]{0,160}"
-    r"|the abstract of this (?:article|paper|item)[^.]{0,160}not[^.]{0,120}"
-    r"|readers who have a subscription[^.]{0,220}"
-    r"|this (?:item|article|content) is (?:subject to|protected by|only available)[^.]{0,160})\W*$",
-    re.I,
-)
+#: Texts that stand in for abstracts are broadcast up to so many; beyond, they are joined.
+MAX_SHARED = 100_000
+#: A stand-in loses against other values in at least so many papers.
+LEAST_PAPERS = 2
+
 HEADING_TAG = re.compile(r"<(jats:title|title|h[1-6]|b|strong)\b[^>]*>[^<]*</\1\s*>", re.I)
 TAG = re.compile(r"<[^<>]*>")
 HEADING = re.compile(r"^\s*(?:abstract|summary|background|objectives?|introduction)\s*[:.\-–—]\s*", re.I)
@@ -58,7 +57,7 @@ CUT = re.compile(r"\s*(?:\[?(?:\.\.\.|…)\]?)\s*$")
 
 
 def real_words(text: str | None) -> list[str]:
-    """The words of the real abstract in ``text``: no markup, headings, rights notices or stand-ins."""
+    """The words of ``text`` without markup, headings and rights notices."""
     if not text:
         return []
     if "<" in text:
@@ -68,84 +67,150 @@ def real_words(text: str | None) -> list[str]:
     text = RIGHTS.sub("", text)
     text = HEADING.sub("", text)
     text = CUT.sub("", text)
-    if len(text) < 260 and STAND_IN.match(text):
-        return []
     return [w for w in text.split() if any(map(str.isalnum, w))]
 
 
-def _lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Matched positions of a longest common subsequence; common ends are cut off first."""
-    n, m, lo = len(a), len(b), 0
-    while lo < n and lo < m and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and hi < m - lo and a[n - 1 - hi] == b[m - 1 - hi]:
-        hi += 1
-    out = [(i, i) for i in range(lo)]
-    x, y = a[lo : n - hi], b[lo : m - hi]
-    if x and y:
-        if len(x) * len(y) > 4_000_000:  # very long texts: anchors of words that occur once in either, then between them
-            out += [(lo + i, lo + j) for i, j in _anchored(x, y)]
-        else:
-            table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for i in range(len(x) - 1, -1, -1):
-                row, below = table[i], table[i + 1]
-                for j in range(len(y) - 1, -1, -1):
-                    row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-            i = j = 0
-            while i < len(x) and j < len(y):
-                if x[i] == y[j]:
-                    out.append((lo + i, lo + j))
-                    i, j = i + 1, j + 1
-                elif table[i + 1][j] >= table[i][j + 1]:
-                    i += 1
-                else:
-                    j += 1
-    return out + [(n - hi + i, m - hi + i) for i in range(hi)]
+def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Matched positions of two token lists, rising in both.
+
+    Equal ends are matched, then the tokens that occur once in either list, as far as they are in one order (a longest
+    rising run); between two of those the same again.  Of n tokens, n log n steps for texts of any length.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        once_a, once_b = _once(a, i, n), _once(b, j, m)
+        pairs = sorted((p, once_b[t]) for t, p in once_a.items() if t in once_b)
+        anchors = _rising(pairs)
+        low = (i, j)
+        for p, q in anchors:
+            todo.append((low[0], p, low[1], q))
+            out.append((p, q))
+            low = (p + 1, q + 1)
+        if anchors:
+            todo.append((low[0], n, low[1], m))
+    return sorted(out)
 
 
-def _anchored(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    from difflib import SequenceMatcher
+def _once(tokens: list[str], low: int, high: int) -> dict[str, int]:
+    seen: dict[str, int] = {}
+    for k in range(low, high):
+        seen[tokens[k]] = -1 if tokens[k] in seen else k
+    return {t: k for t, k in seen.items() if k >= 0}
 
-    return [(m.a + k, m.b + k) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(m.size)]
 
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs, sorted by their first number, that rises in the second."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        n = bisect_left(ends, q)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(q)
+            at.append(k)
+        else:
+            ends[n], at[n] = q, k
+    out = []
+    k = at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
 
-def consensus(values: list[list[str]], weights: list[float]) -> tuple[list[str], list[int]]:
-    """The consensus tokens of ``values`` and each value's distance to it, in columns left empty.
 
-    Progressive alignment, longest value first (ties: as given).  Column votes are weighted; a gap does not vote.
+GAP = None
+
+
+def consensus(values: list[list[str]], weights: list[float]) -> tuple[list[str], list[float]]:
+    """The consensus tokens of ``values`` and each value's distance to it.
+
+    Progressive alignment, longest value first (ties: as given), against the tokens voted so far.
     """
     order = sorted(range(len(values)), key=lambda i: -len(values[i]))
-    columns: list[dict[str, float]] = []
+    columns: list[dict[int, str]] = []  # value -> token
     voted: list[str] = []
-    filled = [0] * len(values)
     for i in order:
-        tokens, w = [t.casefold() for t in values[i]], weights[i]
-        filled[i] = len(tokens)
+        tokens = [t.casefold() for t in values[i]]
         if not columns:
-            columns = [{t: w} for t in tokens]
+            columns = [{i: t} for t in tokens]
         elif tokens == voted[: len(tokens)]:
             for c, t in zip(columns, tokens):
-                c[t] = c.get(t, 0) + w
+                c[i] = t
         else:
-            pairs = [*_lcs(voted, tokens), (len(voted), len(tokens))]
-            merged: list[dict[str, float]] = []
-            a = b = 0
-            for p, q in pairs:
+            merged: list[dict[int, str]] = []
+            p = q = 0
+            for x, y in [*align(voted, tokens), (len(voted), len(tokens))]:
                 # Between two matches the columns are paired off; what is left over is an insertion on either side.
-                while a < p or b < q:
-                    c = columns[a] if a < p else {}
-                    if b < q:
-                        c[tokens[b]] = c.get(tokens[b], 0) + w
+                while p < x or q < y:
+                    c = columns[p] if p < x else {}
+                    if q < y:
+                        c[i] = tokens[q]
                     merged.append(c)
-                    a, b = min(a + 1, p) if a < p else a, min(b + 1, q) if b < q else b
-                if p < len(voted) and q < len(tokens):
-                    columns[p][tokens[q]] = columns[p].get(tokens[q], 0) + w
-                    merged.append(columns[p])
-                    a, b = p + 1, q + 1
+                    p, q = min(p + 1, x), min(q + 1, y)
+                if x < len(voted) and y < len(tokens):
+                    columns[x][i] = tokens[y]
+                    merged.append(columns[x])
+                    p, q = x + 1, y + 1
             columns = merged
-        voted = [max(c.items(), key=lambda kv: (kv[1], kv[0]))[0] for c in columns]
-    return voted, [len(columns) - f for f in filled]
+        voted = [_plurality(c, weights)[0] for c in columns]
+    if all(len(c) == len(values) and len(set(c.values())) == 1 for c in columns):
+        return voted, [0.0] * len(values)
+    # Where each value begins and ends: it votes for a gap only between.
+    span = {}
+    for k, c in enumerate(columns):
+        for i in c:
+            span[i] = (span[i][0] if i in span else k, k)
+    result, away = [], [0.0] * len(values)
+    for k, c in enumerate(columns):
+        ballot: dict[int, str | None] = dict(c)
+        for i, (low, high) in span.items():
+            if i not in c and low < k < high:
+                ballot[i] = GAP
+        winner, weight = _plurality(ballot, weights)
+        if winner is not GAP:
+            result.append(winner)
+        for i in range(len(values)):
+            if c.get(i) != winner:
+                away[i] += weight
+    return result, away
+
+
+def _plurality(ballot: dict, weights: list[float]) -> tuple[str | None, float]:
+    """The token (or GAP) of greatest weight and that weight; ties: a token before a gap, then by code point."""
+    sums: dict = {}
+    for i, t in ballot.items():
+        sums[t] = sums.get(t, 0.0) + weights[i]
+    best = max(sums, key=lambda t: (sums[t], t is not GAP, t or ""))
+    return best, sums[best]
+
+
+def opposed(values: list[list[str]]) -> set[tuple[int, int]]:
+    """(code, other's code) of the values that others stand against: that share fewer than half of the shorter one's words.
+
+    A value that a further, not identical value bears out by sharing more has no row of its own.
+    """
+    kinds = {_code(v): {t.casefold() for t in v} for v in values}
+    out = set()
+    for x, a in kinds.items():
+        shares = {y: 2 * len(a & b) >= min(len(a), len(b)) for y, b in kinds.items() if y != x}
+        if not any(shares.values()):
+            out.update((x, y) for y in shares)
+    return out
+
+
+def _code(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words).casefold()) - (1 << 63)
 
 
 def _payload(raw: Column, source: Column) -> tuple[Column, Column]:
@@ -204,25 +269,59 @@ def survivors(sources: DataFrame, trust: DataFrame) -> DataFrame:
         F.min(F.when(F.col("date").isNotNull(), F.struct("trust_rank", "source", "date"))).alias("d"),
         F.collect_list(F.struct("trust_rank", "source", "abstract")).alias("values"),
     )
+    scratch = Scratch(sources.sparkSession, "survivors")
     flat = groups.select("paper_id", "n_sources", F.col("d.date").alias("announce_date"), F.coalesce("d.source", F.lit("")).alias("date_source"), "values")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flat = scratch.save(flat, "groups")
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = ([real_words(g["abstract"]) for g in group] for group in batch.column(0).to_pylist())
+            pairs = [p for group in values for p in opposed([w for w in group if w])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["x", "y"])
+
+    against = scratch.save(flat.select("values").mapInArrow(marks, "x bigint, y bigint").groupBy("x", "y").agg(F.count("*").alias("n")), "against")
+    often = scratch.save(against.groupBy("x").agg(F.sum("n").alias("often"), F.count("*").alias("rows")), "often")
+    heavy = [r["x"] for r in often.where(F.col("rows") >= F.greatest(F.lit(1000), F.lit(HEAVY) * against.count())).select("x").collect()]
+    both = spread_join(against, often.select("x", "often"), "x", heavy)
+    other = against.select(F.col("y").alias("x")).distinct().join(often, "x", "left").select(F.col("x").alias("y"), F.coalesce("often", F.lit(0)).alias("other"))
+    both = spread_join(both, other, "y", heavy)
+    judged = both.groupBy("x").agg(F.sum(F.when(F.col("often") > F.col("other"), F.col("n"))).alias("lost"), F.sum(F.when(F.col("often") < F.col("other"), F.col("n"))).alias("won"))
+    empty = scratch.save(judged.where((F.col("lost") >= LEAST_PAPERS) & (F.col("lost") > F.coalesce("won", F.lit(0)))).select(F.col("x").alias("code")), "stand_ins")
+
+    def survive(batches: Iterator[pa.RecordBatch], barred) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, names = [], []
-            for group in batch.column(4).to_pylist():
-                group = sorted(((g["trust_rank"], g["source"], g["abstract"], real_words(g["abstract"])) for g in group), key=lambda g: g[:2])
-                group = [g for g in group if g[3]]
-                if not group:
+            out = batch.column(5).to_pylist() if batch.num_columns > 5 else None
+            for k, group in enumerate(batch.column(4).to_pylist()):
+                none = barred if out is None else set(out[k] or ())
+                rows = sorted(((g["trust_rank"], g["source"], g["abstract"], real_words(g["abstract"])) for g in group), key=lambda g: g[:2])
+                rows = [g for g in rows if g[3] and _code(g[3]) not in none]
+                if not rows:
                     texts.append(None)
                     names.append("")
                     continue
-                _, away = consensus([g[3] for g in group], [1.0 / (1.0 + min(g[0], 1000)) for g in group])
-                best = min(range(len(group)), key=lambda i: (away[i], i))
-                texts.append(group[best][2])
-                names.append(group[best][1])
+                _, away = consensus([g[3] for g in rows], [1.0 / (1.0 + g[0]) for g in rows])
+                best = min(range(len(rows)), key=lambda i: (round(away[i], 9), i))
+                texts.append(rows[best][2])
+                names.append(rows[best][1])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.string()), pa.array(names, pa.string())], names=["paper_id", "n_sources", "announce_date", "date_source", "abstract", "abstract_source"])
 
-    return flat.mapInArrow(run, "paper_id string, n_sources bigint, announce_date date, date_source string, abstract string, abstract_source string")
+    schema = "paper_id string, n_sources bigint, announce_date date, date_source string, abstract string, abstract_source string"
+    columns = flat.select("paper_id", "n_sources", "announce_date", "date_source", "values")
+    spark = sources.sparkSession
+    if empty.count() <= MAX_SHARED:
+        shared = spark.sparkContext.broadcast(frozenset(r["code"] for r in empty.collect()))
+        return columns.mapInArrow(lambda batches: survive(batches, shared.value), schema)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(p, real_words(g["abstract"])) for p, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for g in group]
+            pairs = [(p, _code(w)) for p, w in words if w]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([c for _, c in pairs], pa.int64())], names=["paper_id", "code"])
+
+    hit = flat.select("paper_id", "values").mapInArrow(own, "paper_id string, code bigint").join(empty, "code").groupBy("paper_id").agg(F.collect_set("code").alias("barred"))
+    return columns.join(hit, "paper_id", "left").mapInArrow(lambda batches: survive(batches, frozenset()), schema)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
