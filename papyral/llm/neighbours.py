@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from papyral.session import Scratch, table
+from papyral.session import HEAVY, Scratch, spread_join, table
 
 K = 5
 CELLS = 3
@@ -38,7 +39,7 @@ SEED = 20240101
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(model_version, paper_id, v): the latest vector of each paper and model, if usable, as unit doubles.
+    """(model_version, paper_id, v, copy): the latest vector of each paper and model, if usable, as unit floats; equal ones have one copy.
 
     The latest created_at counts (a null one is oldest; at a tie the larger array); if it is null, empty, zero, of
     another length than most of its model or holds a null, NaN or infinity, the paper has no neighbours there.
@@ -47,10 +48,25 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     rows = rows.select("paper_id", "model_version", "created_at", F.col("embedding").cast("array<float>").alias("embedding"))
     latest = rows.groupBy("model_version", "paper_id").agg(F.max(F.struct("created_at", "embedding")).alias("m")).select("model_version", "paper_id", F.col("m.embedding").alias("e"))
     sizes = rows.where(F.size("embedding") > 0).groupBy("model_version", F.size("embedding").alias("n")).count()
-    most = sizes.groupBy("model_version").agg(F.max(F.struct("count", "n")).alias("m")).select("model_version", F.col("m.n").alias("dim"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    fine = (F.size("e") == F.col("dim")) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return latest.join(F.broadcast(most), "model_version").where(fine).withColumn("norm", norm).where("norm > 0").select("model_version", "paper_id", F.transform("e", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    most = sizes.groupBy("model_version").agg(F.max(F.struct("count", "n")).alias("m")).select("model_version", F.col("m.n").alias("dim"))  # one row a model
+    fine = latest.join(most, "model_version").where(F.size("e") == F.col("dim")).select("model_version", "paper_id", "e", "dim")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims):
+                own = batch.filter(pa.array(dims == dim))
+                x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, dim)
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt((x * x).sum(axis=1))
+                    good = np.isfinite(norm) & (norm > 0)
+                    v = (x[good] / norm[good, None] + 0.0).astype(np.float32)
+                at = pa.array(np.flatnonzero(good))
+                copies = np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in v], np.uint64).view(np.int64)
+                offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * np.int32(dim))
+                yield pa.RecordBatch.from_arrays([own.column(0).take(at), own.column(1).take(at), pa.ListArray.from_arrays(offsets, pa.array(v.ravel())), pa.array(copies)], names=["model_version", "paper_id", "v", "copy"])
+
+    return fine.mapInArrow(run, "model_version string, paper_id string, v array<float>, copy bigint")
 
 
 def _nearest(v: np.ndarray, pivots: np.ndarray, r: int) -> np.ndarray:
@@ -147,14 +163,21 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, k: int = K, least:
     """
     scratch = Scratch(spark, "vectors")
     units = scratch.save(unit_vectors(vectors), "units")
-    by_copy = W.partitionBy("model_version", "v").orderBy("paper_id")
-    heads = units.withColumn("rn", F.row_number().over(by_copy)).where(F.col("rn") <= k + 1)
-    sizes = {r["model_version"]: r["n"] for r in units.groupBy("model_version").agg(F.count("*").alias("n")).collect()}
-    # The index is fitted on a bounded sample: the pivots, by smallest hash of the name.
+    # Classes of exact copies, by a hash of the vector; only their rows are ranked.
+    of = ["model_version", "copy"]
+    multi = scratch.save(units.groupBy(*of).agg(F.count("*").alias("n")).where("n > 1"), "classes")
+    lead = units.join(multi.select(*of), of, "left_semi").withColumn("rn", F.row_number().over(W.partitionBy(*of).orderBy("paper_id"))).where(F.col("rn") <= k + 1)
+    lead = scratch.save(lead.select("model_version", "paper_id", "v", "copy", "rn"), "lead")
+    columns = ["model_version", "paper_id", "v"]
+    alone = units.join(multi.select(*of), of, "left_anti").select(*columns)
+    heads = alone.unionByName(lead.select(*columns))
+    sizes = {r["model_version"]: r["n"] for r in heads.groupBy("model_version").agg(F.count("*").alias("n")).collect()}
+    # The index is fitted on a bounded sample: the pivots, different vectors by smallest hash of the name.
+    distinct = alone.unionByName(lead.where("rn = 1").select(*columns))
     per = {m: max(1, min(MAX_PIVOTS, n // VECTORS_A_PIVOT)) for m, n in sizes.items()}
     pivots = {}
     for m, n in per.items():
-        rows = units.where(F.col("model_version") == m).select("v", F.xxhash64("paper_id").alias("h")).orderBy("h").limit(n).collect()
+        rows = distinct.where(F.col("model_version") == m).select("v", F.xxhash64("paper_id").alias("h")).orderBy("h").limit(n).collect()
         pivots[m] = np.array([r["v"] for r in rows], np.float32)
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -174,16 +197,16 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, k: int = K, least:
         q, o, s = search_cell(flat.reshape(len(names), -1), names, k, least)
         return pa.table({"model_version": pa.array([key[0].as_py()] * len(q), pa.string()), "paper_id": pa.array(names[q], pa.string()), "neighbour": pa.array(names[o], pa.string()), "cosine": pa.array(s, pa.float64())})
 
-    placed = heads.select("model_version", "paper_id", "v").mapInArrow(assign, "model_version string, paper_id string, v array<float>, cell int")
+    placed = heads.mapInArrow(assign, "model_version string, paper_id string, v array<float>, cell int")
     found = placed.groupBy("model_version", "cell").applyInArrow(search, "model_version string, paper_id string, neighbour string, cosine double")
     ranked = found.groupBy("model_version", "paper_id", "neighbour").agg(F.max("cosine").alias("cosine"))
     best = W.partitionBy("model_version", "paper_id").orderBy(F.desc(F.round("cosine", 6)), "neighbour")
     top = ranked.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
-    # Further copies: the first k of their class are as near as can be.
-    counted = units.withColumn("rn", F.row_number().over(by_copy))
-    more = counted.where(F.col("rn") > k + 1).select("model_version", "v", "paper_id")
-    lead = counted.where(F.col("rn") <= k).select("model_version", "v", F.col("paper_id").alias("neighbour"))
-    copies = more.join(lead, ["model_version", "v"]).select("model_version", "paper_id", "neighbour", F.lit(1.0).alias("cosine"))
+    # Further copies: the first k of their class are as near as can be.  A class may hold a third of all rows: it is spread.
+    further = units.join(multi.where(F.col("n") > k + 1).select(*of), of, "left_semi").select(*of, "paper_id").join(lead.select("model_version", "paper_id"), ["model_version", "paper_id"], "left_anti")
+    heavy = [r["copy"] for r in multi.where(F.col("n") >= F.greatest(F.lit(10_000.0), F.lit(HEAVY * sum(sizes.values())))).select("copy").collect()]
+    first = lead.where(F.col("rn") <= k).select(F.col("model_version").alias("m"), "copy", F.col("paper_id").alias("neighbour"))
+    copies = spread_join(further, first, "copy", heavy).where(F.col("model_version") == F.col("m")).select("model_version", "paper_id", "neighbour", F.lit(1.0).alias("cosine"))
     return top.unionByName(copies)
 
 
