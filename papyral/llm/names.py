@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people: linked by MinHash banding, Monge-Elkan similarity and stars.
 
 1. Every distinct string is taken apart into family part, given name and initials.  Which words are given names is learnt
-   from where they stand in all names (a bounded list of the most frequent ones).
-2. Families that differ by a slip are found by MinHash banding over padded q-grams, the given
-   name's first letter being part of each band.  With J the Jaccard similarity of two q-gram sets a pair meets with
-   probability 1 - (1 - J^ROWS)^BANDS: 0.97 at J = 0.54 (one letter of eight exchanged), 0.8 at 0.43.
+   from where they stand in all names.
+2. Families that differ by slips are found by MinHash banding over padded q-grams, the given name's first letter being
+   part of each band.  Rows and bands are read off the collision curve 1 - (1 - J^rows)^bands for each length: J is what one
+   slip leaves of the q-grams, and the bands are as many as it takes to meet with RECALL (see
+   :func:`banding`), so short families are found as surely as long ones.  Candidates are verified by Monge-Elkan similarity.
 3. Within a family and letter, names are compared by Monge-Elkan similarity with the parts' conflicts (another given
    name, another middle initial) ruled out, and clustered by stars: the most frequent full spelling is
    the centre, the others join the centre they are most similar to.
@@ -14,9 +15,11 @@ Work on distinct strings only, so a name on a third of all rows is one string.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,15 @@ from pyspark.sql import functions as F
 from papyral.llm.works import fold, near
 from papyral.session import Scratch, table
 
-Q, ROWS, BANDS = 3, 4, 40
-#: Given names: words of at least MIN_GIVEN names that stand first in most of them; at most MAX_GIVEN are broadcast.
-MIN_GIVEN, MAX_GIVEN, FIRST_SHARE = 5, 5000, 0.6
+#: Length of the q-grams; the share of families one slip apart that must meet; the most bands.
+Q, RECALL, MOST = 2, 0.97, 32
+#: Given names: words of at least MIN_GIVEN names that stand first in most of them.  Up to SMALL_LIST of them are broadcast;
+#: a longer list is joined to the names' words instead, with the same result.
+MIN_GIVEN, SMALL_LIST, FIRST_SHARE = 5, 50_000, 0.6
 #: A name of initials joins the person that has at least this share of the spellings' occurrences it could stand for.
 INITIAL_SHARE = 0.5
-SIMILAR = 0.7
+#: Monge-Elkan similarity from which two spellings are one: a slip in a word of four letters or more, two in one of nineteen.
+SIMILAR = 0.8
 
 # Common short forms of given names.
 NICKNAMES = {
@@ -161,14 +167,28 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 
 
 def _word(x: str, y: str) -> float:
+    """1 less the square of the edits (a swap of neighbours is one) over the longer length and one; 0.9 for a fitting initial."""
     if x == y:
         return 1.0
     if len(x) == 1 or len(y) == 1:
         return 0.9 if x[0] == y[0] else 0.0
+    return 1 - _edits(x, y) ** 2 / (1 + max(len(x), len(y)))
+
+
+def _edits(x: str, y: str) -> int:
     if near(x, y):
-        return 1 - 1 / (1 + max(len(x), len(y)))
-    gx, gy = ({f"^{w}$"[i : i + 2] for i in range(len(w) + 1)} for w in (x, y))
-    return len(gx & gy) / len(gx | gy)
+        return 1
+    if abs(len(x) - len(y)) > 2:
+        return abs(len(x) - len(y))
+    before, row = [0] * (len(y) + 1), list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row, up = before, [i] + [0] * len(y), row
+        for j, d in enumerate(y, 1):
+            row[j] = min(up[j] + 1, row[j - 1] + 1, up[j - 1] + (c != d))
+            if i > 1 and j > 1 and c == y[j - 2] and d == x[i - 2]:
+                row[j] = min(row[j], last[j - 2] + 1)
+        before = up
+    return row[-1]
 
 
 def _grams(text: str) -> list[str]:
@@ -176,17 +196,41 @@ def _grams(text: str) -> list[str]:
     return list({s[i : i + Q] for i in range(len(s) - Q + 1)})
 
 
+@lru_cache(maxsize=64)
+def banding(length: int) -> tuple[int, int]:
+    """(rows, bands) for words of which the longer has ``length`` letters: the most rows that MOST bands can serve at RECALL.
+
+    The slip that costs most q-grams decides: two neighbouring letters swapped change Q + 1 of them.
+    """
+    grams = length + Q - 1
+    j = max(grams - Q - 1, 1) / (grams + Q + 1)
+    for rows in (6, 5, 4, 3, 2, 1):
+        bands = math.ceil(math.log(1 - RECALL) / math.log(1 - j**rows))
+        if bands <= MOST:
+            return rows, bands
+    return 1, bands
+
+
 _RNG = np.random.default_rng(7)
-_A = _RNG.integers(1, 2**61, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 2**61, ROWS * BANDS, dtype=np.uint64)
+_A = _RNG.integers(1, 2**61, 6 * MOST, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 2**61, 6 * MOST, dtype=np.uint64)
 
 
-def band_keys(text: str, letter: str) -> list[int]:
-    h = np.array([xxhash.xxh64_intdigest(g) for g in _grams(text)], np.uint64)
+@lru_cache(maxsize=20_000)
+def _minima(gram: str) -> np.ndarray:
     with np.errstate(over="ignore"):
-        m = ((h[:, None] * _A + _B) >> np.uint64(11)).min(axis=0)
-    rows = m.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(letter.encode() + bytes([b]) + rows[b].tobytes()) - (1 << 63) for b in range(BANDS)]
+        return (np.uint64(xxhash.xxh64_intdigest(gram)) * _A + _B) >> np.uint64(11)
+
+
+def band_keys(text: str, letter: str) -> list[int]:
+    """Band keys of a family: those of its own length and, as a partner may be a letter longer, of the next."""
+    m = np.minimum.reduce([_minima(g) for g in _grams(text)])
+    out = []
+    for rows, bands in {banding(min(len(text), 40)), banding(min(len(text) + 1, 40))}:
+        head = letter.encode() + bytes([rows, bands])
+        packed = m[: rows * bands].tobytes()
+        out += [xxhash.xxh64_intdigest(head + bytes([b]) + packed[8 * rows * b : 8 * rows * (b + 1)]) - (1 << 63) for b in range(bands)]
+    return out
 
 
 def star_clusters(items: list[tuple[str, int, str, str, str, str]], family: str) -> list[int]:
@@ -206,7 +250,7 @@ def star_clusters(items: list[tuple[str, int, str, str, str, str]], family: str)
     centre: dict[str, str] = {}
     stars: list[str] = []
     for g in sorted(by_given, key=lambda g: (-by_given[g], g)):
-        best = max(((monge_elkan([g], [c]), by_given[c], c) for c in stars if near(g, c)), default=None)
+        best = max(((monge_elkan([g], [c]), by_given[c], c) for c in stars if abs(len(g) - len(c)) <= 2), default=None)
         centre[g] = best[2] if best and best[0] >= SIMILAR else g
         if centre[g] == g:
             stars.append(g)
@@ -242,7 +286,7 @@ def star_clusters(items: list[tuple[str, int, str, str, str, str]], family: str)
         elif g in centre:
             g = centre[g]
         else:
-            near_by = [c for c in stars if near(g, c)]
+            near_by = [c for c in stars if monge_elkan([g], [c]) >= SIMILAR]
             if not near_by:
                 cluster[i] = number(("\x00" + own, given))  # a family of its own after all
                 continue
@@ -284,21 +328,37 @@ def _second_part(given: str, letter: str) -> bool:
 SCHEMA = "name string, n bigint, kind string, family string, given string, initials string, letter string"
 
 
-def parsed_names(names: DataFrame, given: frozenset[str]) -> DataFrame:
-    shared = names.sparkSession.sparkContext.broadcast(given)
+def parsed_names(names: DataFrame, given: DataFrame) -> DataFrame:
+    """SCHEMA rows of names (name, n); given: (word) of the given names."""
+    spark = names.sparkSession
+    small = given.count() <= SMALL_LIST
+    shared = spark.sparkContext.broadcast(frozenset(r["word"] for r in given.collect()) if small else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, p) for i, x in enumerate(batch.column(0).to_pylist()) if (p := parse_name(x, shared.value)) and p[1]]
+            known = [shared.value] * batch.num_rows if batch.num_columns == 2 else [frozenset(g or ()) for g in batch.column(2).to_pylist()]
+            rows = [(i, p) for i, (x, g) in enumerate(zip(batch.column(0).to_pylist(), known)) if (p := parse_name(x, g)) and p[1]]
             at = pa.array([i for i, _ in rows], pa.int64())
             parts = zip(*(p for _, p in rows)) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.string()) for c in parts)], names=["name", "n", "kind", "family", "given", "initials", "letter"])
 
-    return names.select("name", "n").mapInArrow(run, SCHEMA)
+    if small:
+        return names.select("name", "n").mapInArrow(run, SCHEMA)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for x in batch.column(0).to_pylist():
+                full = [w for w in (name_words(x) or ([],))[0] if len(w) > 1]
+                pairs.update((x, w) for w in (*full, *(full[0] + w for w in full[1:2])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.string())], names=["name", "word"])
+
+    hit = names.select("name").mapInArrow(words, "name string, word string").join(given, "word").groupBy("name").agg(F.collect_set("word").alias("given"))
+    return names.select("name", "n").join(hit, "name", "left").select("name", "n", "given").mapInArrow(run, SCHEMA)
 
 
-def given_names(names: DataFrame) -> frozenset[str]:
-    """Words that stand first in most of the names they are in, by distinct strings; bounded by MAX_GIVEN."""
+def given_names(names: DataFrame) -> DataFrame:
+    """(word): words that stand first in most of the names they are in, by distinct strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +385,7 @@ def given_names(names: DataFrame) -> frozenset[str]:
 
     words = names.select("name").mapInArrow(run, "word string, first bigint, other bigint")
     total = words.groupBy("word").agg(F.sum("first").alias("first"), F.sum("other").alias("other"))
-    often = total.where((F.col("first") >= MIN_GIVEN) & (F.col("first") >= FIRST_SHARE * (F.col("first") + F.col("other"))))
-    return frozenset(r["word"] for r in often.orderBy(F.desc("first"), "word").limit(MAX_GIVEN).collect())
+    return total.where((F.col("first") >= MIN_GIVEN) & (F.col("first") >= FIRST_SHARE * (F.col("first") + F.col("other")))).select("word")
 
 
 def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
@@ -336,13 +395,13 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "names")
     names = scratch.save(authors.select(F.explode("authors").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n")), "names")
-    parsed = scratch.save(parsed_names(names, given_names(names)), "parsed")
+    parsed = scratch.save(parsed_names(names, scratch.save(given_names(names), "given")), "parsed")
     families = parsed.groupBy("kind", "family", "letter").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [band_keys(f, k + x) for k, f, x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS), pa.int64())
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(ks) for ks in keys]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([k for ks in keys for k in ks], pa.int64()), *(batch.column(i).take(at) for i in (0, 1, 2, 4))], names=["band", "kind", "family", "letter", "n"])
 
     kind = "band bigint, kind string, family string, letter string, n bigint"
@@ -354,7 +413,7 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
 
     def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([near(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([monge_elkan([a], [b]) >= SIMILAR for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
 
     linked = met.mapInArrow(slips, "kind string, letter string, u string, v string, nv bigint")
     star = linked.groupBy("kind", "letter", F.col("u").alias("family")).agg(F.max(F.struct("nv", "v")).alias("m")).select("kind", "letter", "family", F.col("m.v").alias("centre"))
