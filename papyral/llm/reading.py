@@ -129,8 +129,11 @@ def reading_bands(documents: DataFrame, labels: DataFrame, scratch=None) -> Data
     if scratch is not None:
         graded = scratch.save(graded, "grades")
     graded = graded.where((F.col("n_words") >= MIN_WORDS) & (F.col("english") >= ENGLISH_SHARE))
-    middle = labels.where(F.col("band").isNotNull()).groupBy("doc_id").agg(F.percentile("band", 0.5).alias("label"))
-    sample = graded.join(middle, "doc_id").orderBy(F.xxhash64("doc_id")).limit(MAX_LABELS).select(*DEFAULT_CUTS, "label").collect()
+    # The sample is drawn from the labelled ids before anything is joined, so what is sent about is bounded by MAX_LABELS.
+    bands = labels.where(F.col("band").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = bands.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
+    middle = bands.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.percentile("band", 0.5).alias("label"))
+    sample = graded.join(F.broadcast(middle), "doc_id").select(*DEFAULT_CUTS, "label").collect()
     levels = []
     for name, default in DEFAULT_CUTS.items():
         cuts = fit_cuts([(r[name], r["label"]) for r in sample], default)

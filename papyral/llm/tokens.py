@@ -25,9 +25,9 @@ from papyral.session import table
 TOKENIZER_DIR = os.environ.get("PAPYRAL_TOKENIZER_DIR", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k"
 #: Characters of a leaf of the tree.
-LEAF = 16384
+LEAF = 768
 #: First size of the window into the right part, in characters; it doubles.
-WINDOW = 64
+WINDOW = 32
 #: Fixed value: the pre-tokenizer pattern published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -97,16 +97,15 @@ def join(left: Piece, right: Piece, enc) -> Piece:
             middle, n_head = _encode(left.text[cut:] + right.text, enc), len(right.ids)
             break
         head = right.text[:reach]
-        own = [m.span() for m in split.finditer(head)]
+        own = [m.start() for m in split.finditer(head)]
         window = left.text[cut:] + head
-        spans = [m.span() for m in split.finditer(window)]
-        # The last two pre-tokens of either reading may yet grow with what follows.
-        sure = {a for a, _ in own[:-2]} & {a - border for a, _ in spans[:-2]}
-        if sure := [a for a in sure if a > 0]:
-            keep = min(sure)
-            # Pre-token by pre-token, as white space is cut differently where a text ends.
-            middle = [t for a, b in spans if b <= border + keep for t in enc.encode_ordinary(window[a:b])]
-            n_head = sum(len(enc.encode_ordinary(head[a:b])) for a, b in own if b <= keep)
+        both = {m.start() - border for m in split.finditer(window)}
+        # The last two pre-tokens of a reading may yet grow with what follows; white space is cut differently where a text ends.
+        sure = [a for a in own[1:-2] if a in both and not head[a - 1].isspace()]
+        if sure:
+            keep = sure[0]
+            middle = enc.encode_ordinary(window[: border + keep])
+            n_head = len(enc.encode_ordinary(head[:keep]))
             break
         reach *= 2
     n_tail = len(enc.encode_ordinary(left.text[cut:]))
