@@ -115,10 +115,15 @@ class Buckets:
         self.name = f"papyral_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{self.path}'")
 
-    def append(self, df: DataFrame) -> None:
-        """Add rows; one file a bucket."""
+    def placed(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` shuffled as the buckets are, by the column ``by`` (the key itself if None)."""
+        return df.repartition(self.n, by or self.key)
+
+    def append(self, df: DataFrame, placed: bool = False) -> None:
+        """Add rows; one file a bucket.  ``placed``: they are shuffled by the key already."""
         columns = [c.split()[0] for c in self.schema.split(", ")]
-        df.select(*columns).repartition(self.n, self.key).write.mode("append").option("parquet.dictionary.page.size", 8 << 20).insertInto(self.name)
+        rows = df.select(*columns)
+        (rows if placed else self.placed(rows)).write.mode("append").option("parquet.dictionary.page.size", 8 << 20).insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
     def read(self) -> DataFrame:
