@@ -14,6 +14,7 @@ tables hold distinct titles only.  A title belongs to its first record; a later
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyral.llm.components import connected_components
@@ -76,28 +77,29 @@ class FingerprintIndex:
         number = F.lit(self.n).alias("n")
         titled = features.where(F.col("title").isNotNull())
         classes = titled.groupBy("title", "people").agg(F.min("id").alias("id"), F.min("tokens").alias("tokens"), F.min("print").alias("print"), F.min("tables").alias("tables"))
-        batch = classes.groupBy("title").agg(F.min(F.struct("id", "people")).alias("f")).select("title", _words("f.people").alias("batch_first"))
+        by_first = W.partitionBy("title").orderBy("id", "people")
+        classes = classes.withColumn("batch_first", F.first("people").over(by_first))
         # History is read bucket by bucket; what is built in memory and shuffled is the delivery's side.
-        known = self.titles.read().join(titled.select("title").distinct().hint("shuffle_hash"), "title", "left_semi").groupBy("title")
+        known = self.titles.read().join(titled.select("title").hint("shuffle_hash"), "title", "left_semi").groupBy("title")
         known = known.agg(F.flatten(F.collect_list("words")).alias("known"), F.flatten(F.collect_list(F.when(F.col("first"), F.col("words")))).alias("known_first"))
-        firsts = batch.join(known, "title", "left").select("title", F.coalesce("known_first", "batch_first").alias("first"), "known", F.col("known").isNotNull().alias("old"))
-        met = classes.join(firsts, "title").select("title", "people", "tokens", "print", "tables", _words("people").alias("words"), "first", "known", "old")
+        met = classes.join(known, "title", "left").select("title", "people", "tokens", "print", "tables", _words("people").alias("words"), F.coalesce("known_first", _words("batch_first")).alias("first"), "known", F.col("known").isNotNull().alias("old"))
         met = self.scratch.save(met.withColumn("stranger", _strange("words", "first")), "met")
         # Words that the title's own work has not shown before make new keys; a new title makes all of its keys.
         union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("words"))))
-        fresh = met.where(~F.col("stranger")).groupBy("title").agg(*[F.max(c).alias(c) for c in ("tokens", "print", "tables", "old", "first", "known")], union.alias("words"))
+        fresh = self.titles.placed(met.where(~F.col("stranger"))).groupBy("title").agg(*[F.max(c).alias(c) for c in ("tokens", "print", "tables", "old", "first", "known")], union.alias("words"))
         row = lambda tokens, tables, words, first: F.struct(tokens.alias("tokens"), tables.alias("tables"), words.alias("words"), F.lit(first).alias("first"))
         named, untold = F.col("tables").bitwiseAND(F.lit(NAMED)), F.lit(None).cast("string")
         new = F.array(row(F.col("tokens"), F.col("tables"), F.col("first"), True), row(untold, named, F.array_except("words", "first"), False))
         more = F.array(row(untold, named, F.array_except("words", "known"), False))
         rows = fresh.select("title", "print", F.inline(F.when(F.col("old"), more).otherwise(new))).where(F.col("first") | (F.size("words") > 0))
-        self.titles.append(rows.select("title", "tokens", "print", "tables", "words", "first", number))
+        self.titles.append(rows.select("title", "tokens", "print", "tables", "words", "first", number), placed=True)
         fresh = self.titles.read().where(F.col("n") == self.n)
         self.blocks.append(block_keys(fresh.withColumn("p", F.col("print")), F.col("words"), "title", "p").select("key", "title", F.col("p").alias("print"), number))
         blocks = self.blocks.read()
         a = blocks.where(F.col("n") == self.n).select("key", F.col("title").alias("u"), F.col("print").alias("print_u"))
         b = blocks.select("key", F.col("title").alias("v"), F.col("print").alias("print_v"))
-        pairs = a.hint("shuffle_hash").join(b, "key").where((F.col("u") != F.col("v")) & alike("print_u", "print_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = a.hint("shuffle_hash").join(b, "key").where((F.col("u") != F.col("v")) & alike("print_u", "print_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs = self.titles.placed(pairs, "u").dropDuplicates(["u", "v"])
         side = lambda n: self.titles.read().where(F.col("first")).select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"))
         both = side("v").join(side("u").join(pairs.hint("shuffle_hash"), "u").hint("shuffle_hash"), "v")
         nothing = F.lit(None).cast("string").alias("people")
