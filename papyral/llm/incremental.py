@@ -65,7 +65,7 @@ class FingerprintIndex:
         self.titles = made("titles", "title bigint, tokens string, print bigint, tables int, words array<string>, first boolean", "title")
         self.blocks = made("blocks", "key bigint, title bigint, print bigint", "key")
         self.links = made("links", "u bigint, v bigint, kind string, people string", "u")
-        self.n = self.links.read().agg(F.max("n")).first()[0] or 0
+        self.n = max(t.read().agg(F.max("n")).first()[0] or 0 for t in (self.titles, self.links))
         self.done, self.known_works = 0, None
 
     def append(self, features: DataFrame) -> None:

@@ -138,6 +138,17 @@ def consensus(values: list[list[str]], weights: list[float]) -> tuple[list[str],
     Progressive alignment, longest value first (ties: as given), against the tokens voted so far.
     """
     order = sorted(range(len(values)), key=lambda i: -len(values[i]))
+    if order and one_text(values):  # every column has one token: the vote is each one's weight
+        away = [0.0] * len(values)
+        weight = sum(weights)
+        ends = sorted(order, key=lambda i: len(values[i]))
+        total = [0.0]  # what the columns up to each end weigh, from the first end on
+        for a, b in zip(ends, ends[1:]):
+            weight -= weights[a]
+            total.append(total[-1] + weight * (len(values[b]) - len(values[a])))
+        for i, t in zip(ends, total):
+            away[i] = total[-1] - t
+        return [t.casefold() for t in values[order[0]]], away
     columns: list[dict[int, str]] = []  # value -> token
     voted: list[str] = []
     for i in order:
@@ -186,6 +197,12 @@ def consensus(values: list[list[str]], weights: list[float]) -> tuple[list[str],
     return result, away
 
 
+def one_text(values: list[list[str]]) -> bool:
+    """Whether every value is the beginning of the longest."""
+    longest = max(values, key=len)
+    return all(v == longest[: len(v)] for v in values)
+
+
 def _plurality(ballot: dict, weights: list[float]) -> tuple[str | None, float]:
     """The token (or GAP) of greatest weight and that weight; ties: a token before a gap, then by code point."""
     sums: dict = {}
@@ -200,6 +217,8 @@ def opposed(values: list[list[str]]) -> set[tuple[int, int]]:
 
     A value that a further, not identical value bears out by sharing more has no row of its own.
     """
+    if not values or one_text(values):
+        return set()
     kinds = {_code(v): {t.casefold() for t in v} for v in values}
     out = set()
     for x, a in kinds.items():
@@ -287,7 +306,8 @@ def survivors(sources: DataFrame, trust: DataFrame) -> DataFrame:
     other = against.select(F.col("y").alias("x")).distinct().join(often, "x", "left").select(F.col("x").alias("y"), F.coalesce("often", F.lit(0)).alias("other"))
     both = spread_join(both, other, "y", heavy)
     judged = both.groupBy("x").agg(F.sum(F.when(F.col("often") > F.col("other"), F.col("n"))).alias("lost"), F.sum(F.when(F.col("often") < F.col("other"), F.col("n"))).alias("won"))
-    empty = scratch.save(judged.where((F.col("lost") >= LEAST_PAPERS) & (F.col("lost") > F.coalesce("won", F.lit(0)))).select(F.col("x").alias("code")), "stand_ins")
+    stand_ins = judged.where((F.col("lost") >= LEAST_PAPERS) & (F.col("lost") > F.coalesce("won", F.lit(0)))).select(F.col("x").alias("code"))
+    empty = scratch.save(stand_ins, "stand_ins")
 
     def survive(batches: Iterator[pa.RecordBatch], barred) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +316,9 @@ def survivors(sources: DataFrame, trust: DataFrame) -> DataFrame:
             for k, group in enumerate(batch.column(4).to_pylist()):
                 none = barred if out is None else set(out[k] or ())
                 rows = sorted(((g["trust_rank"], g["source"], g["abstract"], real_words(g["abstract"])) for g in group), key=lambda g: g[:2])
-                rows = [g for g in rows if g[3] and _code(g[3]) not in none]
+                rows = [g for g in rows if g[3]]
+                if none:
+                    rows = [g for g in rows if _code(g[3]) not in none]
                 if not rows:
                     texts.append(None)
                     names.append("")
