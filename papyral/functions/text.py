@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyral.functions import wordlists as L
 
+# Fixed values below, where patterns name words or shapes: surveys, acronyms, repository addresses.
 WORD = r"[\p{L}\p{N}_]"
 _SPLIT = r"[^\p{L}\p{N}_]+"
 
@@ -113,13 +115,32 @@ def quoted_phrases(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 4)))
 
 
+def _folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """(letters, their ASCII letters, [(letter, its ASCII letters)]): what compatibility decomposition leaves in ASCII of every
+    character of the basic plane, by the Unicode tables; those that leave one character, and letters that leave more."""
+    one, plain, more = [], [], []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if x < "\x80")
+        if len(left) == 1:
+            one.append(c)
+            plain.append(left)
+        elif left and unicodedata.category(c).startswith("L"):
+            more.append((c, left))
+    return "".join(one), "".join(plain), more
+
+
+_ONE, _PLAIN, _MORE = _folding()
+_FIRST_OF_MORE = "[" + "".join(c for c, _ in _MORE) + "]"
+
+
 def strip_accents(c: Column) -> Column:
-    """ASCII letters of a text: common Latin letters lose their marks, any other character is dropped."""
-    marked = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįñńňòóôõöōőŕřśšşťţùúûüūůűýÿžźż"
-    plain = "aaaaaaaaacccdeeeeeeeegiiiiiinnnooooooorrsssttuuuuuuuyyzzz"
-    c = F.replace(F.replace(F.translate(c, "\u00a0", " "), F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
-    both = F.translate(c, marked + marked.upper().replace("Ÿ", "Ÿ"), plain + plain.upper())
-    return F.regexp_replace(both, r"[^\x00-\x7F]", "")
+    """ASCII letters of a text: letters of any alphabet lose their marks as Unicode takes them apart, any other character is dropped."""
+    wide = c
+    for letter, left in _MORE:
+        wide = F.replace(wide, F.lit(letter), F.lit(left))
+    c = F.when(c.rlike(_FIRST_OF_MORE), wide).otherwise(c)
+    return F.regexp_replace(F.translate(c, _ONE, _PLAIN), r"[^\x00-\x7F]", "")
 
 
 def normalized_title(c: Column) -> Column:
@@ -140,3 +161,42 @@ def canonical_key(doi: Column, arxiv_id: Column, title: Column, authors: Column,
     first = F.coalesce(surname(F.try_element_at(authors, F.lit(1))), F.lit(""))
     seed = F.concat_ws("|", F.coalesce(normalized_title(title), F.lit("")), first, F.coalesce(year.cast("string"), F.lit("")))
     return F.coalesce(F.concat(F.lit("doi:"), d), F.concat(F.lit("arxiv:"), a), F.concat(F.lit("hash:"), F.substring(F.sha1(seed), 1, 16)))
+
+
+DOMAIN_TOO_GENERAL = ("vision-language",)
+
+
+def domain_markers(queries: Column) -> Column:
+    """The phrases of an array of niche queries by which a paper belongs to the domain: quoted ones, the too general left out."""
+    phrases = F.array_sort(F.array_distinct(F.flatten(F.transform(queries, quoted_phrases))))
+    return F.array_except(phrases, F.array(*[F.lit(x) for x in DOMAIN_TOO_GENERAL]))
+
+
+def matches_any(text: Column, phrases: list[str]) -> Column:
+    """Whether any phrase stands in the text at word borders, in any case."""
+    if not phrases:
+        return F.lit(False)
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(f"(?:{pattern(p)})" for p in phrases))
+
+
+def archive_query(phrase: Column) -> Column:
+    """The query of a saved search: the exact phrase in the abstract, or all of its significant words if there are two or more."""
+    trimmed = F.regexp_replace(phrase, f"^{WHITE}|{WHITE}$", "")
+    words = significant_words(trimmed)
+    exact = F.concat(F.lit('abs:"'), F.replace(trimmed, F.lit('"'), F.lit("")), F.lit('"'))
+    every = F.array_join(F.transform(words, lambda w: F.concat(F.lit("abs:"), w)), " AND ")
+    return F.when(F.size(words) < 2, exact).otherwise(F.concat(exact, F.lit(" OR ("), every, F.lit(")")))
+
+
+def shortened(c: Column, n: int) -> Column:
+    """The first ``n`` characters, with an ellipsis if there are more."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+
+
+def keyword_hit(text: Column, words: list[str]) -> Column:
+    """Whether any keyword is in the text, in any case; no keywords hit everything."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hit = F.lit(not words)
+    for w in words:
+        hit = hit | low.contains(w.lower())
+    return hit

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from papyral.functions import text as X
 from papyral.functions import weeks as K
@@ -38,11 +33,17 @@ def candidate_terms(papers: DataFrame) -> DataFrame:
     return paper_text(papers).select(F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def growth(liked: DataFrame, vocab: DataFrame, learned: int) -> DataFrame:
-    """(term, weight): at most six new terms from liked papers; weight 1.0 if in two or more of them, else 0.4."""
+def growth(feedback: DataFrame, papers: DataFrame, vocab: DataFrame, learned: int) -> tuple[DataFrame, DataFrame]:
+    """((term, n, weight), feedback): at most six new terms from liked papers not processed yet, and the feedback with those flagged.
+
+    Weight 1.0 if a term is in two or more of them, else 0.4; ``learned`` terms in all fill at most MAX_LEARNED places.
+    """
+    due = (F.col("verdict") == "liked") & ~F.coalesce("processed_for_vocab", F.lit(False))
+    liked = papers.join(feedback.where(due).select("paper_id").distinct(), "paper_id", "left_semi")
     fresh = candidate_terms(liked).join(vocab.select("term"), "term", "left_anti")
     room = max(0, min(ADDS, MAX_LEARNED - learned))
-    return fresh.orderBy(F.desc("n"), "term").limit(room).select("term", "n", F.when(F.col("n") >= 2, 1.0).otherwise(0.4).alias("weight"))
+    terms = fresh.orderBy(F.desc("n"), "term").limit(room).select("term", "n", F.when(F.col("n") >= 2, 1.0).otherwise(0.4).alias("weight"))
+    return terms, feedback.withColumn("processed_for_vocab", F.coalesce("processed_for_vocab", F.lit(False)) | F.coalesce(due, F.lit(False)))
 
 
 def suggestions(liked: DataFrame, tracked: DataFrame, pending: DataFrame, n: int = 10) -> DataFrame:
@@ -68,10 +69,11 @@ def working_series(cards: DataFrame) -> DataFrame:
 
 
 def lead_time(labels: DataFrame, papers: DataFrame, cards: DataFrame) -> DataFrame:
-    """(paper_id, label, published, first_shown, lead_days): days from publication to the first card; null if never shown."""
-    shown = cards.groupBy("paper_id").agg(F.min("run_date").alias("first_shown"))
-    rows = labels.join(papers.select("paper_id", F.coalesce("announce_date", "published_date").alias("published")), "paper_id").join(shown, "paper_id", "left")
-    return rows.withColumn("lead_days", F.datediff("first_shown", "published"))
+    """(paper_id, surfaced, lead_days, missed) of the papers labelled ``blew_up``: days from the day they were first seen to their first card."""
+    shown = cards.groupBy("paper_id").agg(F.min("run_date").alias("surfaced"))
+    blown = labels.where(F.col("label") == "blew_up").select("paper_id").distinct()
+    rows = papers.select("paper_id", F.to_date("first_seen_at").alias("seen")).join(blown, "paper_id").join(shown, "paper_id", "left")
+    return rows.select("paper_id", "surfaced", F.datediff("surfaced", "seen").alias("lead_days"), F.col("surfaced").isNull().alias("missed"))
 
 
 def saved_search(papers: DataFrame, phrase: str, words: list[str], ids: list[str] = (), limit: int = 150) -> DataFrame:
@@ -107,27 +109,25 @@ def digest(cards: DataFrame) -> DataFrame:
     return cards.groupBy("run_date", "section").agg(F.to_json(rows).alias("cards"))
 
 
-def split_message(text: str, limit: int = 3900) -> list[str]:
-    """Pieces of at most ``limit`` characters, cut at line ends; a longer line is cut anywhere."""
-    out, piece = [], ""
-    for line in (text or "").splitlines(keepends=True):
-        while len(line) > limit:
-            if piece:
-                out.append(piece)
-                piece = ""
-            out.append(line[:limit])
-            line = line[limit:]
-        if len(piece) + len(line) > limit:
-            out.append(piece)
-            piece = ""
-        piece += line
-    return [*out, piece] if piece else out
+#: Characters of one delivered message.
+MESSAGE = 3900
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: split_message(t) if isinstance(t, str) else [])
+def chunks(text: Column, limit: int = MESSAGE) -> Column:
+    """An array of messages of at most ``limit`` characters that together are the text: as many whole lines as fit, a longer line cut; [""] for none.
+
+    Lines, with their ends, are cut into pieces that fit; a fold then fills one message after the other.
+    """
+    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\n\r]*(?:\r\n|\n|\r)|[^\n\r]+"), F.lit(0))
+    pieces = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(rf"(?s).{{1,{limit}}}"), F.lit(0))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def fill(state: Column, piece: Column) -> Column:
+        full = F.length(state["open"]) + F.length(piece) > limit
+        done = F.when(full & (state["open"] != ""), F.array_append(state["done"], state["open"])).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(full, piece).otherwise(F.concat(state["open"], piece)).alias("open"))
+
+    return F.aggregate(pieces, start, fill, lambda s: F.when((s["open"] != "") | (F.size(s["done"]) == 0), F.array_append(s["done"], s["open"])).otherwise(s["done"]))
 
 
 def apply_feedback(feedback: DataFrame, batch: DataFrame, papers: DataFrame, cards: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,9 +139,3 @@ def apply_feedback(feedback: DataFrame, batch: DataFrame, papers: DataFrame, car
     recent = F.col("run_date") >= F.date_sub(as_of, 30)
     marked = cards.join(said, "paper_id", "left").withColumn("outcome", F.when(recent & F.col("__v").isNotNull(), F.col("__v")).otherwise(F.col("outcome"))).drop("__v")
     return kept, muted, marked
-
-
-def stale_runs(log: DataFrame, as_of: Column, minutes: int = 25) -> DataFrame:
-    """Runs still open after so many minutes are closed as failed."""
-    late = (F.col("status") == "running") & (F.col("started_at") < as_of - F.make_dt_interval(mins=F.lit(minutes)))
-    return log.withColumn("status", F.when(late, "failed").otherwise(F.col("status")))

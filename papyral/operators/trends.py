@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -45,13 +45,12 @@ def last_seen(counts: DataFrame) -> DataFrame:
 
 
 def momentum(counts: DataFrame, terms: list[str], current: str, lookback: int = MOMENTUM_LOOKBACK) -> DataFrame:
-    """(term, current, baseline, momentum) of every asked term; weeks without a row are 0."""
-    base = K.recent_weeks(current, lookback)
-    rows = counts.where(F.col("iso_week").isin(current, *base) & F.col("term").isin(*terms))
+    """(term, current, baseline, momentum) of every asked term, to 3 places; weeks without a row are 0."""
+    rows = counts.where(F.col("iso_week").isin(*K.plan_weeks(current, lookback)) & F.col("term").isin(*terms))
     got = rows.groupBy("term").agg(F.sum(F.when(F.col("iso_week") == current, F.col("count"))).alias("c"), F.sum(F.when(F.col("iso_week") != current, F.col("count"))).alias("b"))
     asked = counts.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    full = asked.join(got, "term", "left").select("term", F.coalesce("c", F.lit(0)).alias("current"), (F.coalesce("b", F.lit(0)) / F.lit(float(lookback))).alias("baseline"))
-    return full.withColumn("momentum", F.col("current") - F.col("baseline"))
+    full = asked.join(got, "term", "left").select("term", F.coalesce("c", F.lit(0)).alias("current"), (F.coalesce("b", F.lit(0)) / F.lit(float(lookback))).alias("b"))
+    return full.select("term", "current", F.bround("b", 3).alias("baseline"), F.bround(F.col("current") - F.col("b"), 3).alias("momentum"))
 
 
 def rising(table: DataFrame, n: int = 8) -> DataFrame:
@@ -63,25 +62,25 @@ def rising(table: DataFrame, n: int = 8) -> DataFrame:
 
 def momentum_all_weeks(counts: DataFrame, first: str, last: str, lookback: int = MOMENTUM_LOOKBACK) -> DataFrame:
     """(term, iso_week, count, baseline, momentum) of every week of the range, weeks without a row being 0."""
-    start = K.week_start(first)
-    n = (K.week_start(last) - start).days // 7
+    start = F.lit(K.plan_days(first, 0)[0]).cast("date")
+    n = (date.fromisoformat(K.plan_days(last, 0)[0]) - date.fromisoformat(K.plan_days(first, 0)[0])).days // 7
     spine = counts.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("w"))
-    spine = spine.withColumn("iso_week", K.iso_week(F.date_add(F.lit(start), F.col("w") * 7)))
+    spine = spine.withColumn("iso_week", K.iso_week(F.date_add(start, F.col("w") * 7)))
     rows = spine.join(counts.select("term", "iso_week", "count"), ["term", "iso_week"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     before = W.partitionBy("term").orderBy("w").rangeBetween(-lookback, -1)
     base = F.coalesce(F.sum("count").over(before), F.lit(0)) / F.lit(float(lookback))
-    return rows.select("term", "iso_week", "count", base.alias("baseline"), (F.col("count") - base).alias("momentum"))
+    return rows.select("term", "iso_week", "count", F.bround(base, 3).alias("baseline"), F.bround(F.col("count") - base, 3).alias("momentum"))
 
 
 def bursts(term_hits: DataFrame, terms: list[str], current: str, least: int = 3, window: int = BURST_WINDOW) -> DataFrame:
     """(term, distinct_groups, prev_distinct_groups, bursting): groups of the last weeks against those of the weeks before."""
-    weeks = [*K.recent_weeks(current, 2 * window - 1), current]
+    weeks = K.plan_weeks(current, 2 * window - 1)
     now = F.col("iso_week").isin(*weeks[window:])
     groups = term_hits.where(F.col("iso_week").isin(*weeks) & F.col("first_author_group").isNotNull())
     got = groups.groupBy("term").agg(F.count_distinct(F.when(now, F.col("first_author_group"))).alias("k"), F.count_distinct(F.when(~now, F.col("first_author_group"))).alias("p"))
     asked = term_hits.sparkSession.createDataFrame([(t,) for t in terms], "term string")
     full = asked.join(got, "term", "left").select("term", F.coalesce("k", F.lit(0)).alias("distinct_groups"), F.coalesce("p", F.lit(0)).alias("prev_distinct_groups"))
-    return full.withColumn("bursting", (F.col("distinct_groups") >= least) & (F.col("distinct_groups") > F.col("prev_distinct_groups")))
+    return full.withColumn("bursting", (F.col("distinct_groups") >= least) & (F.col("distinct_groups") > F.col("prev_distinct_groups"))).orderBy(F.desc("distinct_groups"), "term")
 
 
 def all_bursts(term_hits: DataFrame, window: int = BURST_WINDOW) -> DataFrame:
@@ -97,9 +96,9 @@ def all_bursts(term_hits: DataFrame, window: int = BURST_WINDOW) -> DataFrame:
 
 def discovery_groups(papers: DataFrame, tracked: list[str], current: str) -> DataFrame:
     """(gram, current_count, weeks_seen, baseline_count, distinct): distinct groups a gram in this week and in the weeks before."""
-    weeks = [*K.recent_weeks(current, DISCOVERY_LOOKBACK), current]
+    first, last = K.plan_days(current, DISCOVERY_LOOKBACK)
     day = F.coalesce("announce_date", F.col("first_seen_at").cast("date"))
-    rows = papers.where(~F.coalesce("muted", F.lit(False)) & ~F.coalesce("is_survey", F.lit(False)) & day.between(F.lit(K.week_start(weeks[0])), F.lit(K.week_start(current) + timedelta(days=6))))
+    rows = papers.where(~F.coalesce("muted", F.lit(False)) & ~F.coalesce("is_survey", F.lit(False)) & day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     rows = paper_text(rows.withColumn("iso_week", K.iso_week(day)))
     group = F.coalesce("first_author_group", F.concat(F.lit("anon:"), F.substring("title", 1, 40)))
     grams = F.array_union(X.bigrams(F.col("text")), X.acronyms(F.col("text")))
@@ -136,5 +135,13 @@ def tracked_terms(*lists: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def run_date(text: str) -> date:
-    return date.fromisoformat(text)
+def recompute(stored: DataFrame, fresh: DataFrame, keys: list[str], only_weeks: list[str] | None = None) -> DataFrame:
+    """A weekly table after a recount: rows of ``only_weeks`` (all if None) take the fresh values; a week that fell to nothing keeps its row."""
+    fresh = fresh if only_weeks is None else fresh.where(F.col("iso_week").isin(*only_weeks))
+    return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def refresh_last_seen(vocab: DataFrame, counts: DataFrame) -> DataFrame:
+    """vocab with ``last_seen_iso_week`` moved forward, never back, to each term's last week with a count."""
+    seen = last_seen(counts).withColumnRenamed("last_seen_iso_week", "__w")
+    return vocab.join(seen, "term", "left").withColumn("last_seen_iso_week", F.greatest("last_seen_iso_week", "__w")).drop("__w")

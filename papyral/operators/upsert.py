@@ -83,6 +83,24 @@ def merge_papers(old: DataFrame, batch: DataFrame) -> DataFrame:
     return merged.withColumn("abstract_missing", F.col("abstract").isNull()) if "abstract" in merged.columns else merged
 
 
+def provenance(sources: DataFrame) -> DataFrame:
+    """(paper_id, source, source_id, source_url, raw, first_seen_at): one row a paper and source; the latest payload, the first sight."""
+    rows = sources.where(F.col("paper_id").isNotNull() & F.col("source").isNotNull())
+    out = rows.groupBy("paper_id", "source").agg(F.max(F.struct("first_seen_at", "source_id", "source_url", "raw")).alias("m"), F.min("first_seen_at").alias("first_seen_at"))
+    return out.select("paper_id", "source", "m.source_id", "m.source_url", "m.raw", "first_seen_at")
+
+
+def sources_of(sources: DataFrame) -> DataFrame:
+    """(paper_id, sources, n): the sorted sources of each paper."""
+    rows = sources.where(F.col("paper_id").isNotNull() & F.col("source").isNotNull())
+    return rows.groupBy("paper_id").agg(F.array_sort(F.collect_set("source")).alias("sources")).withColumn("n", F.size("sources").cast("bigint"))
+
+
+def source_report(sources: DataFrame) -> DataFrame:
+    """(source, rows, papers, latest)."""
+    return sources.groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("paper_id").alias("papers"), F.max("first_seen_at").alias("latest"))
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` and the rows of ``new`` whose key it lacks, one a key."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))

@@ -29,7 +29,10 @@ def test_word_match(spark):
 
 def test_weeks(spark):
     assert one(spark, K.iso_week(F.col("d")), d=date(2021, 1, 3)) == "2020-W53"
-    assert K.recent_weeks("2021-W01", 2) == ["2020-W52", "2020-W53"]
+    assert one(spark, K.labels_before(F.col("d"), 2), d=date(2021, 1, 5)) == ["2020-W52", "2020-W53"]
+    assert K.plan_weeks("2021-W01", 2) == ["2020-W52", "2020-W53", "2021-W01"] and K.plan_days("2021-W01", 1) == ("2020-12-28", "2021-01-10")
+    assert spark.range(1).select(K.weeks_between(R.week_monday(F.lit("2020-W52")), R.week_monday(F.lit("2021-W01")))).first()[0] == 2
+    assert one(spark, K.months_back(F.col("d"), 2), d=date(2021, 3, 31)) == date(2021, 1, 28) and one(spark, K.month(F.col("d")), d=date(2021, 3, 31)) == "2021-03"
 
 
 @pytest.mark.parametrize(("doi", "arxiv", "key"), [(" HTTPS://DOI.ORG/10.1/X ", None, "doi:10.1/x"), (None, "2401.00001V2", "arxiv:2401.00001")])
@@ -38,7 +41,7 @@ def test_key(spark, doi, arxiv, key):
     assert row.select(X.canonical_key(*[F.col(c) for c in "datpy"])).first()[0] == key
 
 
-@pytest.mark.parametrize(("name", "want"), [("Jane Q. Doe", "doe"), ("Doe, Jane", "doe"), ("José Núñez", "nunez"), ("李明", "")])
+@pytest.mark.parametrize(("name", "want"), [("Jane Q. Doe", "doe"), ("Doe, Jane", "doe"), ("José Núñez", "nunez"), ("Thị Nguyễn", "nguyen"), ("Zoë Łukaſz", "ukasz"), ("ﬁnn Eﬀert", "effert"), ("李明", "")])
 def test_surname(spark, name, want):
     assert one(spark, X.surname(F.col("n")), n=name) == want
 
@@ -78,9 +81,12 @@ def test_merge_is_idempotent(spark):
     assert U.merge_papers(once.drop("abstract_missing"), new).collect() == once.collect()
 
 
-def test_chunks():
-    assert [len(x) for x in C.split_message("x" * 10000)] == [3900, 3900, 2200]
-    assert C.split_message("") == [] and C.split_message("a\nb") == ["a\nb"]
+def test_chunks(spark):
+    cut = lambda text, n=3900: one(spark, C.chunks(F.col("t"), n), t=text)
+    assert [len(x) for x in cut("x" * 10000)] == [3900, 3900, 2200]
+    assert cut("") == [""] and cut("a\nb") == ["a\nb"]
+    assert cut("ab\ncd\nefghij\nk", 6) == ["ab\ncd\n", "efghij", "\nk"]
+    assert spark.createDataFrame([(None,)], "t string").select(C.chunks(F.col("t"))).first()[0] == [""]
 
 
 def test_caps(spark):
@@ -98,13 +104,42 @@ def test_rolling_versions(spark):
     assert R.rolling_totals(spark, rows.limit(0)).count() == 0
 
 
+def test_rolling_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.randrange(40), rng.choice([None, 1, 5, 9]), date(2020, 7, 1).replace(year=2020 + rng.randrange(4))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "entity string, period int, amount bigint, d date").select("entity", "period", "amount", F.col("d").cast("timestamp").alias("computed_at"))
+    state = R.spans(R.rolling_versions(spark, df, step_days=200), 60)
+    got = {(r["entity"], p): (r["total_4"], r["total_13"]) for r in state.collect() for p in range(r["period"], r["until"] + 1)}
+    latest = {}
+    for e, p, a, d in sorted(rows, key=lambda r: (r[3], -1 if r[2] is None else r[2])):
+        latest[e, p] = a or 0
+    for e in "abc":
+        for p in range(60):
+            want = tuple(sum(latest.get((e, q), 0) for q in range(p - k + 1, p + 1)) for k in (4, 13))
+            assert got.get((e, p), (0, 0)) == want, (e, p)
+
+
+def test_rolling_state_goes_on(spark, tmp_path):
+    cols = "entity string, period int, amount bigint, computed_at timestamp"
+    folder = f"file://{tmp_path}/state"
+    first = spark.createDataFrame([("a", 0, 5, None), ("a", 20, 2, None)], cols)
+    R.rolling_versions(spark, first, folder=folder)
+    late = spark.createDataFrame([("a", 1, 3)], "entity string, period int, amount bigint").withColumn("computed_at", F.lit("2021-01-01").cast("timestamp"))
+    again = {r["period"]: r["total_4"] for r in R.rolling_versions(spark, late, folder=folder).collect()}
+    assert (again[0], again[1], again[4], again[5]) == (5, 8, 3, 0)
+
+
 def test_corrections_change_affected_periods_only(spark):
     cols = "entity string, period int, amount bigint, computed_at timestamp"
     first = spark.createDataFrame([("a", 0, 5, None), ("a", 20, 2, None)], cols)
-    state = R.advance(None, first, (4, 13), 30)
+    state = R.advance(None, first, (4, 13))
     fix = spark.createDataFrame([("a", 0, 1)], "entity string, period int, amount bigint").withColumn("computed_at", F.lit("2024-01-01").cast("timestamp"))
-    after = {r["period"]: r for r in R.advance(state, fix, (4, 13), 30).collect()}
-    assert (after[0]["total_4"], after[3]["total_4"], after[12]["total_13"], after[20]["total_4"]) == (1, 1, 1, 2)
+    after = {r["period"]: r for r in R.advance(state, fix, (4, 13)).collect()}
+    assert (after[0]["total_4"], after[4]["total_4"], after[4]["total_13"], after[13]["total_13"], after[20]["total_4"]) == (1, 0, 1, 0, 2)
+    old = spark.createDataFrame([("a", 0, 9)], "entity string, period int, amount bigint").withColumn("computed_at", F.lit("2020-01-01").cast("timestamp"))
+    assert {r["period"]: r["total_4"] for r in R.advance(R.advance(state, fix, (4, 13)), old, (4, 13)).collect()}[0] == 1
 
 
 def test_feeds(spark):
@@ -113,3 +148,57 @@ def test_feeds(spark):
     assert (out[0]["abstract"], out[0]["published_date"]) == ("a b a", date(2024, 1, 2)) and out[1]["title"] is None
     for name, feed in feeds.FEEDS.items():
         assert feed(spark.createDataFrame([("{}",), (None,)], "raw string")).count() == 2, name
+
+
+# What each feed's record must become: (feed, record, fields).
+RECORDS = [
+    ("hf_daily", {"paper": {"id": "2401.00001", "title": "T", "summary": "S", "authors": [{"name": "A"}]}, "publishedAt": "2024-01-02T00:00:00Z"}, {"arxiv_id": "2401.00001", "title": "T", "abstract": "S", "authors": ["A"], "published_date": date(2024, 1, 2)}),
+    ("biorxiv", {"doi": "10.1/x", "title": "T", "abstract": "S", "authors": "Doe, J.; Roe, K.", "date": "2024-01-02"}, {"doi": "10.1/x", "authors": ["Doe, J.", "Roe, K."], "published_date": date(2024, 1, 2)}),
+    ("crossref", {"DOI": "10.1/x", "title": ["A", "B"], "abstract": "<jats:p>S</jats:p>", "published": {"date-parts": [[2024, 3]]}, "URL": "u"}, {"title": "A B", "abstract": "S", "published_date": date(2024, 3, 1), "url": "u"}),
+    ("s2", {"paperId": "p", "title": "T", "externalIds": {"DOI": "10.1/x", "ArXiv": "2401.00001"}, "year": 2024}, {"doi": "10.1/x", "arxiv_id": "2401.00001", "published_date": date(2024, 1, 1)}),
+    ("core", {"id": 7, "title": "T", "publishedDate": "bad", "depositedDate": "2024-02-03T01:00:00"}, {"source_id": "7", "published_date": date(2024, 2, 3)}),
+    ("dblp", {"info": {"key": "k", "title": "T.", "authors": {"author": {"text": "A"}}, "year": "2023"}}, {"title": "T", "authors": ["A"], "published_date": date(2023, 1, 1)}),
+    ("dblp", {"info": {"key": "k", "title": "T.", "authors": {"author": [{"text": "A"}, {"text": "B"}]}, "year": "2023"}}, {"authors": ["A", "B"]}),
+    ("europepmc", {"id": "1", "title": "T..", "abstractText": "<h4>B</h4>S", "doi": "10.1/x", "firstPublicationDate": "2024-01-02"}, {"title": "T", "abstract": "B S", "published_date": date(2024, 1, 2)}),
+    ("openreview", {"id": "o", "content": {"title": {"value": "T"}, "abstract": "S"}, "cdate": 1704153600000}, {"title": "T", "abstract": "S", "authors": [], "published_date": date(2024, 1, 2)}),
+    ("medrxiv", {"doi": "10.1/x", "title": "T"}, {"source": "medrxiv", "doi": "10.1/x"}),
+]
+
+
+@pytest.mark.parametrize(("name", "record", "want"), RECORDS)
+def test_feed_values(spark, name, record, want):
+    import json
+
+    row = feeds.FEEDS[name](spark.createDataFrame([(json.dumps(record),)], "raw string")).first()
+    assert {k: row[k] for k in want} == want
+
+
+def test_atom_feed(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<feed><entry><id>http://arxiv.org/abs/2401.00001v2</id><title>A\n  title</title><summary> S </summary><published>2024-01-02T00:00:00Z</published><author><name>A B</name></author><author><name>C D</name></author></entry></feed>")
+    row = feeds.arxiv_entries(spark, str(tmp_path)).first()
+    assert (row["arxiv_id"], row["title"], row["abstract"], row["authors"], row["published_date"]) == ("2401.00001", "A title", "S", ["A B", "C D"], date(2024, 1, 2))
+
+
+def test_keywords_and_registry(spark):
+    rows = spark.createDataFrame([("Deep maps", "x"), ("Other", None)], "title string, abstract string")
+    assert feeds.keyword_filter(rows, ["MAPS"]).count() == 1 and feeds.keyword_filter(rows, []).count() == 2
+    assert list(feeds.enabled({"s2": True, "core": False})) == ["s2"]
+    assert one(spark, X.quoted_phrases(F.col("q")), q='abs:"rare events" AND abs:"ab" OR "vision-language"') == ["rare events", "vision-language"]
+    assert spark.range(1).select(X.domain_markers(F.array(F.lit('"rare events" "vision-language"')))).first()[0] == ["rare events"]
+    assert one(spark, X.archive_query(F.col("q")), q="ECG signal hallucination detection") == 'abs:"ECG signal hallucination detection" OR (abs:ecg AND abs:hallucination)'
+
+
+def test_warming_below_the_mark(spark):
+    rows = [("a", date(2024, 3, 1), 4), ("a", date(2024, 4, 5), 6), ("b", date(2024, 3, 1), 4), ("b", date(2024, 4, 5), 4)]
+    out = {r["paper_id"]: r["tier"] for r in S.citation_tiers(spark.createDataFrame(rows, "paper_id string, snapshot_date date, citation_count int"), warm=3).collect()}
+    assert out == {"a": "warming", "b": "flat"}
+
+
+def test_discovery_slots(spark):
+    """30 phrases and 10 coinages first seen this week by two groups each: 8 coinages and 17 phrases are shown."""
+    words = [f"{a}ation {b}ness" for a in ("alph", "bet", "gamm", "delt", "eps") for b in ("hard", "soft", "cold", "warm", "dark", "bright")]
+    coins = [f"Net{chr(65 + i)}x" for i in range(10)]
+    rows = [(f"{g}{i}", t, None, g, date(2023, 6, 28)) for g in ("g", "h") for i, t in enumerate(words + coins)]
+    df = spark.createDataFrame(rows, "paper_id string, title string, abstract string, first_author_group string, announce_date date").withColumns({"muted": F.lit(False), "is_survey": F.lit(False), "first_seen_at": F.lit(None).cast("timestamp")})
+    out = [r["term"] for r in T.discovery(df, [words[0]], "2023-W26").collect()]
+    assert len(out) == 25 and sum(" " not in t for t in out) == 8 and words[0] not in out
