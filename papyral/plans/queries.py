@@ -17,6 +17,7 @@ from papyral.operators import signals as S
 from papyral.operators import trends as T
 from papyral.operators import upsert as U
 from papyral.session import Scratch, table
+from papyral.streaming.ingest import weekly
 
 AS_OF, CURRENT = "2023-06-30", "2023-W26"
 WEIGHTS = {"self-supervised": 1.0, "world-model": 1.0, "lung scans": 0.8, "priors": 0.5, "few-shot": 1.0, "low dose exposure": 0.7, "transformer": 1.0, "retrieval": 0.6, "planner": 0.9, "dropout": 0.4, "ultrasound": 0.8, "coarse-to-fine": 0.7}
@@ -576,10 +577,8 @@ def delivery_chunks(s, d):
 
 @query("SELECT date_trunc('week', coalesce(announce_date, published_date))::DATE AS monday, count(*) AS count FROM raw_papers WHERE coalesce(announce_date, published_date) IS NOT NULL GROUP BY 1")
 def weekly_windows(s, d):
-    day = F.coalesce("announce_date", "published_date").cast("timestamp")
-    rows = table(s, d, "raw_papers").where(F.coalesce("announce_date", "published_date").isNotNull())
-    out = rows.groupBy(F.window(day, "7 days", "7 days", "4 days").alias("w")).agg(F.count("*").alias("count"))
-    return out.select(F.col("w.start").cast("date").alias("monday"), "count")
+    rows = table(s, d, "raw_papers").select(F.coalesce("announce_date", "published_date").cast("timestamp").alias("at")).where("at IS NOT NULL")
+    return weekly(rows, "at")
 
 
 # Clusters: terms of the catalogue's titles, its venues as clusters; categories as clusters of vectors and of papers.
