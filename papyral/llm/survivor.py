@@ -349,3 +349,15 @@ def survivors(sources: DataFrame, trust: DataFrame) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = survivors(table(spark, sf_dir, "paper_sources"), table(spark, sf_dir, "source_trust"))
     return out.where("n_sources >= 2").select("paper_id", "abstract_source", "date_source")
+
+
+def best_dates(sources: DataFrame, trust: DataFrame) -> DataFrame:
+    """(paper_id, announce_date, date_source) of every paper: the date of the most trusted source that gives a real one; null and '' if none does."""
+    ranked = latest_payloads(sources).join(trust.groupBy("source").agg(F.min("trust_rank").alias("trust_rank")), "source", "left")
+    rank = F.coalesce(F.col("trust_rank").cast("int"), F.lit(UNTRUSTED))
+    best = ranked.groupBy("paper_id").agg(F.min(F.when(F.col("date").isNotNull(), F.struct(rank.alias("r"), "source", "date"))).alias("d"))
+    return best.select("paper_id", F.col("d.date").alias("announce_date"), F.coalesce("d.source", F.lit("")).alias("date_source"))
+
+
+def p3_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_dates(table(spark, sf_dir, "paper_sources"), table(spark, sf_dir, "source_trust"))
