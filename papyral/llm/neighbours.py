@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from papyral.session import HEAVY, Scratch, spread_join, table
 
 K = 5
-CELLS = 3
+CELLS = 4
 #: Vectors a pivot, and the most pivots a model may have (16,384 of 96 numbers are 6 MB).
 VECTORS_A_PIVOT, MAX_PIVOTS = 80, 16384
 #: A cell beyond this is split again.
@@ -100,9 +100,10 @@ def search_cell(v: np.ndarray, names: np.ndarray, k: int, least: float, depth: i
     h = v @ lines
     order = np.argsort(h, axis=0, kind="stable")
     arrays = np.take_along_axis(h, order, 0)  # one sorted array a line
-    rank = np.empty((PROJECTIONS, n), np.int32)
+    whole, sign_less = (np.int16, np.uint16) if n < 2**15 else (np.int32, np.uint32)
+    rank = np.empty((PROJECTIONS, n), whole)
     for j in range(PROJECTIONS):
-        rank[j, order[:, j]] = np.arange(n, dtype=np.int32)
+        rank[j, order[:, j]] = np.arange(n, dtype=whole)
     found_q, found_o, found_s = [], [], []
     step = max(16, 2_000_000 // n)
     for a in range(0, n, step):
@@ -112,10 +113,10 @@ def search_cell(v: np.ndarray, names: np.ndarray, k: int, least: float, depth: i
                 count = np.zeros((len(open_q), n), np.int8)
                 for j in range(PROJECTIONS):
                     x = h[open_q, j]
-                    lo = np.searchsorted(arrays[:, j], x - half, "left").astype(np.int32)
-                    width = np.searchsorted(arrays[:, j], x + half, "right").astype(np.int32) - lo
+                    lo = np.searchsorted(arrays[:, j], x - half, "left").astype(whole)
+                    width = np.searchsorted(arrays[:, j], x + half, "right").astype(whole) - lo
                     # Inside the window of this line: one unsigned comparison of ranks.
-                    count += ((rank[j][None, :] - lo[:, None]).view(np.uint32) < width[:, None].view(np.uint32)).view(np.int8)
+                    count += ((rank[j][None, :] - lo[:, None]).view(sign_less) < width[:, None].view(sign_less)).view(np.int8)
                 hit = count >= need
             else:
                 hit = np.ones((len(open_q), n), bool)
