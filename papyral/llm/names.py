@@ -200,15 +200,15 @@ def _grams(text: str) -> list[str]:
 def banding(length: int) -> tuple[int, int]:
     """(rows, bands) for words of which the longer has ``length`` letters: the most rows that MOST bands can serve at RECALL.
 
-    The slip that costs most q-grams decides: two neighbouring letters swapped change Q + 1 of them.
+    The slip that costs most q-grams decides: two neighbouring letters swapped change Q + 1 of them.  Two rows at least, with as
+    many bands as that takes: one row alone would put all families with a common letter pair into one bucket.
     """
     grams = length + Q - 1
     j = max(grams - Q - 1, 1) / (grams + Q + 1)
-    for rows in (6, 5, 4, 3, 2, 1):
+    for rows in (6, 5, 4, 3, 2):
         bands = math.ceil(math.log(1 - RECALL) / math.log(1 - j**rows))
-        if bands <= MOST:
+        if bands <= MOST or rows == 2:
             return rows, bands
-    return 1, bands
 
 
 _RNG = np.random.default_rng(7)
@@ -226,7 +226,8 @@ def band_keys(text: str, letter: str) -> list[int]:
     """Band keys of a family: those of its own length and, as a partner may be a letter longer, of the next."""
     m = np.minimum.reduce([_minima(g) for g in _grams(text)])
     out = []
-    for rows, bands in {banding(min(len(text), 40)), banding(min(len(text) + 1, 40))}:
+    # No slip in words of three letters is similar enough, so those have no bands of their own length.
+    for rows, bands in {banding(min(n, 40)) for n in (len(text), len(text) + 1) if n > 3}:
         head = letter.encode() + bytes([rows, bands])
         packed = m[: rows * bands].tobytes()
         out += [xxhash.xxh64_intdigest(head + bytes([b]) + packed[8 * rows * b : 8 * rows * (b + 1)]) - (1 << 63) for b in range(bands)]
