@@ -19,6 +19,9 @@ def clean_doi(doi: Column) -> Column:
 
 
 def clean_arxiv(arxiv_id: Column) -> Column:
-    """The preprint number without prefix, version and category; null for null and stand-ins."""
-    s = F.regexp_extract(F.lower(arxiv_id), r"(\d{4}\.\d{4,5}|[a-z\-]{2,10}(?:\.[a-z]{2})?/\d{7})", 1)
+    """The preprint number without prefix, version and category; null for null and stand-ins.
+
+    All digits behind the dot count: a month of 100,000 preprints and more has numbers of six.
+    """
+    s = F.regexp_extract(F.lower(arxiv_id), r"(\d{4}\.\d{4,}|[a-z\-]{2,10}(?:\.[a-z]{2})?/\d{7})", 1)
     return F.nullif(s, F.lit(""))

@@ -307,3 +307,9 @@ def test_extra_columns_do_not_clash(spark):
     pairs = spark.createDataFrame([("a", "b", "Same ", 1.0, "x")], "left_key string, right_key string, verdict string, u double, v string").withColumn("decided_at", F.lit(None).cast("timestamp"))
     papers = spark.createDataFrame([("a", None, None, 1), ("b", "n/a", "", 2), ("c", "-", "none", 3)], "canonical_key string, doi string, arxiv_id string, component int")
     assert {tuple(r) for r in components.paper_groups(spark, papers, pairs).collect()} == {("a", "a"), ("b", "a")}
+
+
+def test_long_preprint_numbers_stay_apart(spark):
+    papers = spark.createDataFrame([("a", "2306.105261v2"), ("b", "arXiv:2306.105261"), ("c", "2306.105262"), ("d", "2306.10526"), ("e", "https://x.example/abs/2306.105262v1")], "canonical_key string, arxiv_id string").withColumn("doi", F.lit(None).cast("string"))
+    pairs = spark.createDataFrame([], "left_key string, right_key string, verdict string, decided_at timestamp")
+    assert {tuple(r) for r in components.paper_groups(spark, papers, pairs).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("e", "c")}
