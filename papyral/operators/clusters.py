@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyral.functions import wordlists as L
 from papyral.operators.lifecycle import jaccard_matches
+from papyral.session import Scratch
 
 MAX_FEATURES, MIN_CLUSTER, DAYS = 4000, 4, 30
-#: Density clusters compare all pairs of one recent window in a single task; a window of more vectors is refused, not cut.
-MAX_VECTORS = 20_000
+#: Density clusters compare all pairs of one recent window: up to BLOCK vectors in one task, more of them block by block, a pair of
+#: blocks a task.  Edges of the blocks' trees are thinned until at most EDGES are left for the task that makes the hierarchy.
+BLOCK, EDGES = 4096, 4_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -42,16 +45,13 @@ def term_weights(docs: DataFrame, features: int = MAX_FEATURES) -> DataFrame:
     return raw.join(norm, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
-def density_labels(v: np.ndarray, least: int = MIN_CLUSTER) -> np.ndarray:
-    """A cluster number for each vector, -1 for noise: hierarchical density clusters chosen by excess of mass (Campello et al. 2013)."""
-    n = len(v)
-    labels = np.full(n, -1)
-    if n < 2 * least:
-        return labels
-    squares = (v * v).sum(axis=1)
-    away = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * v @ v.T, 0.0))
-    core = np.partition(away, min(least - 1, n - 1), axis=1)[:, min(least - 1, n - 1)]
-    # Spanning tree of mutual reachability, vertex by vertex.
+def _distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * u @ v.T, 0.0))
+
+
+def _tree(away: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """The spanning tree (distance, a, b), a < b, of mutual reachability, vertex by vertex."""
+    n = len(away)
     inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     edges, at = [], 0
     for _ in range(n - 1):
@@ -60,7 +60,66 @@ def density_labels(v: np.ndarray, least: int = MIN_CLUSTER) -> np.ndarray:
         nearer = ~inside & (reach < best)
         best[nearer], link[nearer] = reach[nearer], at
         at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((float(best[at]), int(link[at]), at))
+        edges.append((float(best[at]), *sorted((int(link[at]), at))))
+    return edges
+
+
+def _tree_across(away: np.ndarray, core_u: np.ndarray, core_v: np.ndarray) -> list[tuple[float, int, int]]:
+    """The spanning tree (distance, row, column) of the edges between the rows and the columns of ``away``."""
+    reach = np.maximum(np.maximum(away, core_v[None, :]), core_u[:, None])
+    sides = (reach, np.ascontiguousarray(reach.T))  # from a row to the columns, from a column to the rows
+    inside = [np.zeros(n, bool) for n in reach.shape]
+    best = [np.full(n, np.inf) for n in reach.shape]  # inf for those inside too
+    link = [np.zeros(n, int) for n in reach.shape]
+    edges, side, at = [], 0, 0
+    inside[0][0] = True
+    for _ in range(sum(reach.shape) - 1):
+        far, row = 1 - side, sides[side][at]
+        nearer = ~inside[far] & (row < best[far])
+        best[far][nearer], link[far][nearer] = row[nearer], at
+        ends = [int(np.argmin(b)) for b in best]
+        side = 0 if best[0][ends[0]] < best[1][ends[1]] else 1
+        at = ends[side]
+        edges.append((float(best[side][at]), *((at, int(link[side][at])) if side == 0 else (int(link[side][at]), at))))
+        inside[side][at], best[side][at] = True, np.inf
+    return edges
+
+
+def _thinned(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The positions of the edges of a spanning forest of the least distance, shortest first."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.lexsort((b, a, d))
+    top, kept = list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for k, x, y in zip(order.tolist(), ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            top[x] = y
+            kept.append(k)
+            if len(kept) == len(names) - 1:
+                break
+    return np.array(kept, np.int64)
+
+
+def density_labels(v: np.ndarray, least: int = MIN_CLUSTER) -> np.ndarray:
+    """A cluster number for each vector, -1 for noise: hierarchical density clusters chosen by excess of mass (Campello et al. 2013)."""
+    n = len(v)
+    if n < 2 * least:
+        return np.full(n, -1)
+    away = _distances(v, v)
+    core = np.partition(away, min(least - 1, n - 1), axis=1)[:, min(least - 1, n - 1)]
+    return hierarchy_labels(n, _tree(away, core), least)
+
+
+def hierarchy_labels(n: int, edges: list[tuple[float, int, int]], least: int = MIN_CLUSTER) -> np.ndarray:
+    """The cluster number of each of ``n`` points, -1 for noise, from the spanning tree (distance, a, b) of mutual reachability."""
+    labels = np.full(n, -1)
     # Merges from the shortest edge on: a binary tree of the points.
     top, kids, height, size = list(range(n)), {}, {}, [1] * n + [0] * n
 
@@ -125,24 +184,98 @@ def density_labels(v: np.ndarray, least: int = MIN_CLUSTER) -> np.ndarray:
     return labels
 
 
+def _matrix(tab: pa.Table) -> np.ndarray:
+    return tab.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(tab.num_rows, -1)
+
+
+def _block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (i, block, ...) once for each pair of blocks that theirs is in, placed by ``pair``: each pair of rows meets in one."""
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("pair", low * blocks + high).drop("other")
+    return met.repartition(blocks * (blocks + 1) // 2, "pair").groupBy("pair")
+
+
+def spanning_edges(vectors: DataFrame, n: int, least: int, scratch: Scratch) -> DataFrame:
+    """(d, a, b) that hold a spanning tree of mutual reachability of the ``n`` rows (i, v), i from 0 to n - 1.
+
+    An edge of the whole tree is one of the tree of any part of the edges that it is in, so each pair of blocks gives
+    its own tree, the trees of neighbouring pairs give one, and so on.
+    """
+    blocks = -(-n // BLOCK)
+    placed = vectors.withColumn("block", F.pmod("i", F.lit(blocks)).cast("int"))
+
+    def sides(tab: pa.Table) -> list[pa.Table]:
+        block = tab.column("block").to_numpy()
+        return [tab.take(pa.array(np.flatnonzero(block == x))) for x in np.unique(block)]
+
+    def nearest(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        parts, p = sides(tab), divmod(key[0].as_py(), blocks)
+        away = _distances(_matrix(parts[0]), _matrix(parts[-1]))
+        found = []
+        for part, d in [(parts[0], away)] + ([(parts[1], away.T)] if p[0] != p[1] else []):
+            k = min(least, d.shape[1])
+            found.append((part.column("i").to_numpy(), np.partition(d, k - 1, axis=1)[:, :k]))
+        return pa.table({"i": pa.array(np.concatenate([i for i, _ in found]), pa.int64()), "near": pa.array([row for _, d in found for row in d.tolist()], pa.list_(pa.float64()))})
+
+    def tree(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        parts, p = sides(tab), divmod(key[0].as_py(), blocks)
+        away = _distances(_matrix(parts[0]), _matrix(parts[-1]))
+        numbers, cores = ([x.column(c).to_numpy() for x in (parts[0], parts[-1])] for c in ("i", "core"))
+        edges = _tree(away, cores[0]) if p[0] == p[1] else _tree_across(away, *cores)
+        d, a, b = (np.array(c) for c in zip(*edges)) if edges else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+        a, b = numbers[0][a], numbers[1][b]
+        return pa.table({"p": pa.array([p[0]] * len(d), pa.int32()), "q": pa.array([p[1]] * len(d), pa.int32()), "d": pa.array(d, pa.float64()), "a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    def thin(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        return tab.take(pa.array(_thinned(*(tab.column(c).to_numpy() for c in ("d", "a", "b")))))
+
+    near = _block_pairs(placed.select("i", "block", "v"), blocks).applyInArrow(nearest, "i bigint, near array<double>")
+    core = near.groupBy("i").agg(F.array_sort(F.flatten(F.collect_list("near")))[least - 1].alias("core"))
+    placed = scratch.save(placed.join(core, "i"), "cores")
+    kind = "p int, q int, d double, a bigint, b bigint"
+    edges = scratch.save(_block_pairs(placed.select("i", "block", "v", "core"), blocks).applyInArrow(tree, kind), "edges")
+    while blocks > 1 and edges.count() > EDGES:
+        blocks = -(-blocks // 8)
+        eighth = lambda c: (F.col(c) / 8).cast("int").alias(c)
+        fewer = edges.select(eighth("p"), eighth("q"), "d", "a", "b").repartition(blocks * (blocks + 1) // 2, "p", "q")
+        edges = scratch.save(fewer.groupBy("p", "q").applyInArrow(thin, kind), "edges")
+    return edges.select("d", "a", "b")
+
+
 def density_clusters(vectors: DataFrame, least: int = MIN_CLUSTER) -> DataFrame:
     """(paper_id, label) of the vectors (paper_id, v) of one recent window; noise is left out.
 
-    Fewer than two clusters' worth of vectors give no rows; more than MAX_VECTORS are refused.
+    Fewer than two clusters' worth of vectors give no rows.  All pairs are compared, block by block; one task holds the
+    edges of the spanning tree.
     """
-    n = vectors.limit(MAX_VECTORS + 1).count()
-    if n > MAX_VECTORS:
-        raise ValueError(f"a window of more than {MAX_VECTORS} vectors; cluster a shorter one")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [f for f in frames if len(f)]
-        if rows:
-            all_rows = pd.concat(rows).sort_values("paper_id").drop_duplicates("paper_id")
-            found = density_labels(np.array(all_rows["v"].tolist(), np.float64), least)
-            out = pd.DataFrame({"paper_id": all_rows["paper_id"].to_numpy(), "label": found.astype("int32")})
-            yield out[out["label"] >= 0]
-
-    return vectors.select("paper_id", "v").repartition(1).mapInPandas(run, "paper_id string, label int")
+    scratch = Scratch(vectors.sparkSession, "density")
+    numbered = vectors.groupBy("paper_id").agg(F.min("v").alias("v")).withColumn("i", F.row_number().over(W.orderBy("paper_id")).cast("bigint") - 1)
+    rows = scratch.save(numbered.select("i", "paper_id", "v"), "vectors")
+    n = rows.count()
+    label = "i bigint, label int"
+
+    def made(number: np.ndarray, found: np.ndarray) -> Iterator[pd.DataFrame]:
+        out = pd.DataFrame({"i": number, "label": found.astype("int32")})
+        yield out[out["label"] >= 0]
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if parts:
+            every = pd.concat(parts).sort_values("i")
+            yield from made(every["i"].to_numpy(), density_labels(np.array(every["v"].tolist(), np.float64), least))
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if parts:
+            d, a, b = (np.concatenate([f[c].to_numpy() for f in parts]) for c in ("d", "a", "b"))
+            kept = _thinned(d, a, b)
+            yield from made(np.arange(n), hierarchy_labels(n, list(zip(d[kept].tolist(), a[kept].tolist(), b[kept].tolist())), least))
+
+    if n <= max(BLOCK, 2 * least):
+        found = rows.select("i", "v").repartition(1).mapInPandas(whole, label)
+    else:
+        found = spanning_edges(rows.select("i", "v"), n, least, scratch).repartition(1).mapInPandas(joined, label)
+    return rows.select("i", "paper_id").join(found, "i").select("paper_id", "label")
 
 
 def label_terms(members: DataFrame, weights: DataFrame, k: int = 6) -> DataFrame:

@@ -28,6 +28,18 @@ def test_density_clusters_find_blobs(spark):
     assert G.density_clusters(rows.limit(5)).count() == 0 and (G.density_labels(v[:5]) == -1).all()
 
 
+def test_density_clusters_block_by_block(spark, monkeypatch):
+    """Windows of more vectors than one task compares give the clusters that one task would give."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([c + 0.05 * (1 + k % 3) * rng.standard_normal((9 + k, 6)) for k, c in enumerate(rng.standard_normal((8, 6)))] + [rng.standard_normal((20, 6))])
+    rows = spark.createDataFrame([(f"p{i:03d}", x.tolist()) for i, x in enumerate(v)], "paper_id string, v array<double>")
+    want = {(f"p{i:03d}", int(k)) for i, k in enumerate(G.density_labels(v)) if k >= 0}
+    monkeypatch.setattr(G, "BLOCK", 9)
+    monkeypatch.setattr(G, "EDGES", 200)
+    assert len(want) > 60 and len(set(dict(want).values())) > 3
+    assert {tuple(r) for r in G.density_clusters(rows).collect()} == want
+
+
 def test_cluster_keys_carry_over(spark):
     members = spark.createDataFrame([(0, "a"), (0, "b"), (0, "c"), (1, "x"), (1, "y"), (2, "a2")], "label int, paper_id string")
     before = spark.createDataFrame([("old", "a"), ("old", "b"), ("gone", "q")], "cluster_key string, paper_id string")
