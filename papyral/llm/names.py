@@ -410,7 +410,8 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
     # A family joins a more frequent one only, so each bucket's pairs are directed.
     rare = banded.select("band", "kind", "letter", F.col("family").alias("u"), F.col("n").alias("nu"))
     often = banded.select("band", "kind", "letter", F.col("family").alias("v"), F.col("n").alias("nv"))
-    met = rare.join(often, ["band", "kind", "letter"]).where(((F.col("nv") > F.col("nu")) | ((F.col("nv") == F.col("nu")) & (F.col("v") < F.col("u")))) & (F.levenshtein("u", "v", 2) >= 1)).select("kind", "letter", "u", "v", "nv").distinct()
+    # Sorted on both sides: the planner takes banded to be as small as families, and would send all of it through the driver.
+    met = rare.hint("merge").join(often, ["band", "kind", "letter"]).where(((F.col("nv") > F.col("nu")) | ((F.col("nv") == F.col("nu")) & (F.col("v") < F.col("u")))) & (F.levenshtein("u", "v", 2) >= 1)).select("kind", "letter", "u", "v", "nv").distinct()
 
     def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,8 +421,8 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
     star = linked.groupBy("kind", "letter", F.col("u").alias("family")).agg(F.max(F.struct("nv", "v")).alias("m")).select("kind", "letter", "family", F.col("m.v").alias("centre"))
     star = scratch.save(star, "stars")
     # A centre that itself joins another is no centre: its spokes stay with it one step only.
-    rooted = star.join(star.select("kind", "letter", F.col("family").alias("centre"), F.col("centre").alias("up")), ["kind", "letter", "centre"], "left").select("kind", "letter", "family", F.coalesce("up", "centre").alias("centre"))
-    placed = parsed.join(rooted, ["kind", "letter", "family"], "left").withColumn("root", F.coalesce("centre", "family"))
+    rooted = star.hint("merge").join(star.select("kind", "letter", F.col("family").alias("centre"), F.col("centre").alias("up")), ["kind", "letter", "centre"], "left").select("kind", "letter", "family", F.coalesce("up", "centre").alias("centre"))
+    placed = parsed.hint("merge").join(rooted, ["kind", "letter", "family"], "left").withColumn("root", F.coalesce("centre", "family"))
 
     def group(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         rows = list(zip(*(tab.column(c).to_pylist() for c in ("name", "n", "kind", "family", "given", "initials"))))
@@ -439,4 +440,4 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = Scratch(spark, "pairs").save(name_clusters(spark, table(spark, sf_dir, "raw_papers")).select("name", "cluster"), "clusters")
     other = clusters.select("cluster", F.col("name").alias("name_b"))
-    return clusters.select("cluster", F.col("name").alias("name_a")).join(other, "cluster").where("name_a < name_b").select("name_a", "name_b")
+    return clusters.select("cluster", F.col("name").alias("name_a")).hint("merge").join(other, "cluster").where("name_a < name_b").select("name_a", "name_b")

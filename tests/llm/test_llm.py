@@ -313,3 +313,20 @@ def test_long_preprint_numbers_stay_apart(spark):
     papers = spark.createDataFrame([("a", "2306.105261v2"), ("b", "arXiv:2306.105261"), ("c", "2306.105262"), ("d", "2306.10526"), ("e", "https://x.example/abs/2306.105262v1")], "canonical_key string, arxiv_id string").withColumn("doi", F.lit(None).cast("string"))
     pairs = spark.createDataFrame([], "left_key string, right_key string, verdict string, decided_at timestamp")
     assert {tuple(r) for r in components.paper_groups(spark, papers, pairs).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("e", "c")}
+
+
+def test_name_joins_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """No table of names is sent through the driver, however small the planner takes it to be."""
+    plans = []
+
+    class Seen(names.Scratch):
+        def save(self, df, *args, **kwargs):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, *args, **kwargs)
+
+    monkeypatch.setattr(names, "Scratch", Seen)
+    spark.createDataFrame([(["Keira Lundqvist", "Keira Lundqvits"],), (["Keira Lundqvist"],)], "authors array<string>").write.parquet(f"{tmp_path}/raw_papers.parquet")
+    out = names.p6_found(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in out.collect()} == {("Keira Lundqvist", "Keira Lundqvits")}
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
