@@ -1,8 +1,8 @@
 """Deduplicating new batches against all history, through an index of fingerprints.
 
-The index is a folder of lasting tables hashed into buckets: block tables (key, title, fingerprint), titles, the people
+The index is a folder of lasting tables hashed into buckets: block tables (key, title, letters), titles, the people
 of each title, and links.  A delivery is looked up there: exact identifier, exact normalised title, exact block match
-followed by a check of the Hamming distance and of the text.  Then its new titles, and new people of known ones, are
+followed by a check of the letters, of the Hamming distance and of the text.  Then its new titles, and new people of known ones, are
 appended.  Only keys of the delivery are shuffled; history is read bucket by bucket where it lies, and never
 compared with itself again.  Any split of the same rows into deliveries gives the same works.
 
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyral.llm.components import connected_components
-from papyral.llm.works import NAMED, alike, block_keys, of_same_people, same_titles, work_features
+from papyral.llm.works import NAMED, alike, block_keys, like_letters, of_same_people, same_titles, work_features
 from papyral.session import Buckets, Scratch, table
 
 #: Rows of history that one bucket is meant for.
@@ -52,7 +52,7 @@ class FingerprintIndex:
     """History as tables in ``folder``; a later session that opens the same folder goes on where the last one ended.
 
     titles (title, tokens, words, first): a row with the tokens and the first record's name words for each title, further
-    rows for words that later records of its own work bring; blocks (key, title, print): the rotated block tables; links
+    rows for words that later records of its own work bring; blocks (key, title, letters): the rotated block tables; links
     (u, v, kind): what ties vertices, for certain or (kind ``near``) by like text; strangers (title, people): records of a
     title that are another work; each row with the number ``n`` of its delivery.  Vertices are 64-bit hashes of titles,
     of strangers, of identifiers, and of rows without a title.
@@ -62,8 +62,8 @@ class FingerprintIndex:
         self.spark, self.scratch = spark, Scratch(spark, "index")
         folder = (folder or f"{self.scratch.root}/tables").rstrip("/")
         made = lambda name, schema, key: Buckets(spark, f"{folder}/{name}", f"{schema}, n int", key, buckets)
-        self.titles = made("titles", "title bigint, tokens string, print bigint, tables int, words array<string>, first boolean", "title")
-        self.blocks = made("blocks", "key bigint, title bigint, print bigint", "key")
+        self.titles = made("titles", "title bigint, tokens string, print bigint, letters bigint, tables int, words array<string>, first boolean", "title")
+        self.blocks = made("blocks", "key bigint, title bigint, letters bigint", "key")
         self.links = made("links", "u bigint, v bigint, kind string, people string", "u")
         self.n = max(t.read().agg(F.max("n")).first()[0] or 0 for t in (self.titles, self.links))
         self.done, self.known_works = 0, None
@@ -76,34 +76,35 @@ class FingerprintIndex:
         self.n += 1
         number = F.lit(self.n).alias("n")
         titled = features.where(F.col("title").isNotNull())
-        classes = titled.groupBy("title", "people").agg(F.min("id").alias("id"), F.min("tokens").alias("tokens"), F.min("print").alias("print"), F.min("tables").alias("tables"))
+        classes = titled.groupBy("title", "people").agg(F.min("id").alias("id"), F.min("tokens").alias("tokens"), F.min("print").alias("print"), F.min("letters").alias("letters"), F.min("tables").alias("tables"))
         by_first = W.partitionBy("title").orderBy("id", "people")
         classes = classes.withColumn("batch_first", F.first("people").over(by_first))
         # History is read bucket by bucket; what is built in memory and shuffled is the delivery's side.
         known = self.titles.read().join(titled.select("title").hint("shuffle_hash"), "title", "left_semi").groupBy("title")
         known = known.agg(F.flatten(F.collect_list("words")).alias("known"), F.flatten(F.collect_list(F.when(F.col("first"), F.col("words")))).alias("known_first"))
-        met = classes.join(known, "title", "left").select("title", "people", "tokens", "print", "tables", _words("people").alias("words"), F.coalesce("known_first", _words("batch_first")).alias("first"), "known", F.col("known").isNotNull().alias("old"))
+        met = classes.join(known, "title", "left").select("title", "people", "tokens", "print", "letters", "tables", _words("people").alias("words"), F.coalesce("known_first", _words("batch_first")).alias("first"), "known", F.col("known").isNotNull().alias("old"))
         met = self.scratch.save(met.withColumn("stranger", _strange("words", "first")), "met")
         # Words that the title's own work has not shown before make new keys; a new title makes all of its keys.
         union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("words"))))
-        fresh = self.titles.placed(met.where(~F.col("stranger"))).groupBy("title").agg(*[F.max(c).alias(c) for c in ("tokens", "print", "tables", "old", "first", "known")], union.alias("words"))
+        fresh = self.titles.placed(met.where(~F.col("stranger"))).groupBy("title").agg(*[F.max(c).alias(c) for c in ("tokens", "print", "letters", "tables", "old", "first", "known")], union.alias("words"))
         row = lambda tokens, tables, words, first: F.struct(tokens.alias("tokens"), tables.alias("tables"), words.alias("words"), F.lit(first).alias("first"))
         named, untold = F.col("tables").bitwiseAND(F.lit(NAMED)), F.lit(None).cast("string")
         new = F.array(row(F.col("tokens"), F.col("tables"), F.col("first"), True), row(untold, named, F.array_except("words", "first"), False))
         more = F.array(row(untold, named, F.array_except("words", "known"), False))
-        rows = fresh.select("title", "print", F.inline(F.when(F.col("old"), more).otherwise(new))).where(F.col("first") | (F.size("words") > 0))
-        self.titles.append(rows.select("title", "tokens", "print", "tables", "words", "first", number), placed=True)
+        rows = fresh.select("title", "print", "letters", F.inline(F.when(F.col("old"), more).otherwise(new))).where(F.col("first") | (F.size("words") > 0))
+        self.titles.append(rows.select("title", "tokens", "print", "letters", "tables", "words", "first", number), placed=True)
         fresh = self.titles.read().where(F.col("n") == self.n)
-        self.blocks.append(block_keys(fresh.withColumn("p", F.col("print")), F.col("words"), "title", "p").select("key", "title", F.col("p").alias("print"), number))
+        self.blocks.append(block_keys(fresh, F.col("words"), "title", "letters").select("key", "title", "letters", number))
         blocks = self.blocks.read()
-        a = blocks.where(F.col("n") == self.n).select("key", F.col("title").alias("u"), F.col("print").alias("print_u"))
-        b = blocks.select("key", F.col("title").alias("v"), F.col("print").alias("print_v"))
-        pairs = a.hint("shuffle_hash").join(b, "key").where((F.col("u") != F.col("v")) & alike("print_u", "print_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        a = blocks.where(F.col("n") == self.n).select("key", F.col("title").alias("u"), F.col("letters").alias("letters_u"))
+        b = blocks.select("key", F.col("title").alias("v"), F.col("letters").alias("letters_v"))
+        # Titles of common words meet by the square of their number: what their letters tell apart is neither shuffled nor looked up.
+        pairs = a.hint("shuffle_hash").join(b, "key").where((F.col("u") != F.col("v")) & like_letters("letters_u", "letters_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         pairs = self.titles.placed(pairs, "u").dropDuplicates(["u", "v"])
-        side = lambda n: self.titles.read().where(F.col("first")).select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"))
+        side = lambda n: self.titles.read().where(F.col("first")).select(F.col("title").alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("print").alias(f"print_{n}"))
         both = side("v").join(side("u").join(pairs.hint("shuffle_hash"), "u").hint("shuffle_hash"), "v")
         nothing = F.lit(None).cast("string").alias("people")
-        near = same_titles(both).select("u", "v", F.lit("near").alias("kind"), nothing)
+        near = same_titles(both.where(alike("print_u", "print_v"))).select("u", "v", F.lit("near").alias("kind"), nothing)
         # Certain ties: identifiers, and the name words by which records of one title find each other.
         strange = met.where("stranger").select("title", "people")
         code = lambda kind: F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(kind), F.col(kind)))

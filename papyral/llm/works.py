@@ -56,7 +56,7 @@ TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
 SPLIT = re.compile(r"[^\w+]+")
 PART = re.compile(r"\bpart (\w+)")
 FOLLOW = re.compile(r"\bfollow[\s\-‐‑–]+up\b")
-LETTERS = re.compile(r"[a-z]+")
+LETTERS = re.compile(r"[a-z]{3,}")
 CUT = re.compile(r"(?:…|\.\.\.|\[\.\.\.\])\W*$")
 YEAR_SPELLING = re.compile(r"is(ation|ations|e|ed|es|ing|er)$")
 #: Titles of fewer tokens are tied to their authors too.
@@ -68,6 +68,10 @@ TABLES = (*(([i, j], True) for i in range(BLOCKS) for j in range(i + 1, BLOCKS))
 NAMED = sum(1 << k for k, (_, named) in enumerate(TABLES) if named)
 #: Bits in which the fingerprints of one work's titles may differ.  Two titles that share two blocks by chance differ in 16 on average.
 MAX_BITS = 14
+#: For each letter, the counts (from, to) at which a title sets a bit: 64 bits, near the middle of what titles of papers hold.
+COUNTED = {"a": (4, 6), "b": (1, 2), "c": (2, 4), "d": (1, 3), "e": (4, 8), "f": (1, 2), "g": (1, 3), "h": (1, 2), "i": (4, 7), "k": (1, 1), "l": (2, 4), "m": (1, 3), "n": (3, 6), "o": (3, 6), "p": (1, 3), "r": (3, 6), "s": (3, 6), "t": (3, 6), "u": (1, 3), "v": (1, 1), "w": (1, 1), "y": (1, 1), "z": (1, 1)}
+#: Letters that the whole one of two titles may have more than the other: one a slip.
+MAX_LETTERS = 2
 
 
 def fold(text: str) -> str:
@@ -78,6 +82,11 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).casefold()
 
 
+@lru_cache(maxsize=200_000)
+def _spelled(w: str) -> str:
+    return YEAR_SPELLING.sub(r"iz\1", w) if len(w) > 6 else w
+
+
 def title_tokens(title: str | None) -> list[str]:
     """The tokens of a title in order, free of markup, prefixes, light words and spelling habits.
 
@@ -95,7 +104,8 @@ def title_tokens(title: str | None) -> list[str]:
     t = fold(t.replace("$", ""))
     while m := PREFIX.match(t):
         t = t[m.end() :]
-    t = FOLLOW.sub("followup", t)
+    if "follow" in t:
+        t = FOLLOW.sub("followup", t)
     words = [w for w in SPLIT.split(t) if w]
     out: list[str] = []
     for i, w in enumerate(words):
@@ -114,16 +124,12 @@ def title_tokens(title: str | None) -> list[str]:
             out += SHORT_FORMS.get(w, w).split()
     if "#reply" in out:
         out = [w for w in out if w != "#comment"]
-    return [YEAR_SPELLING.sub(r"iz\1", w) if w[-1] in "nsedgr" and len(w) > 6 else w for w in out]
+    return [_spelled(w) for w in out]
 
 
 def author_tokens(authors: list[str] | None) -> list[str]:
     """Sorted distinct words of three letters and more of all names; general words of organisations left out."""
-    out: set[str] = set()
-    for name in authors or ():
-        if name:
-            out.update(w for w in LETTERS.findall(fold(name)) if len(w) >= 3 and w not in ORGANISATION)
-    return sorted(out)
+    return sorted(set(LETTERS.findall("\n".join(map(fold, filter(None, authors or ()))))) - ORGANISATION)
 
 
 def _h(text: str) -> int:
@@ -214,6 +220,26 @@ LIGHT_LONG = tuple(w for w in LIGHT if len(w) >= 3)
 LIGHT_SWAPPED = tuple(w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in LIGHT_LONG for i in range(len(w) - 1))
 
 
+@lru_cache(maxsize=200_000)
+def _letters(t: str) -> int:
+    """A counter of 8 bits for each letter of COUNTED; nothing is counted of light words and slips of them, which titles may lack."""
+    return 0 if any(near(t, w) for w in LIGHT_LONG) else sum(min(t.count(c), 255) << 8 * k for k, c in enumerate(COUNTED))
+
+
+def letter_bits(titles: list[list[str]]) -> np.ndarray:
+    """64 bits of token lists, one for each count of COUNTED that a title reaches (see :func:`like_letters`).
+
+    None for a title that repeats a word, or is so long that a counter might run over.
+    """
+    held = bytearray()
+    for tokens in titles:
+        told = len(set(tokens)) == len(tokens) and sum(map(len, tokens)) < 256
+        held += (sum(map(_letters, tokens)) if told else 0).to_bytes(len(COUNTED), "little")
+    have = np.frombuffer(bytes(held), np.uint8).reshape(len(titles), len(COUNTED))
+    reached = [have[:, k] >= least for k, (low, high) in enumerate(COUNTED.values()) for least in range(low, high + 1)]
+    return np.packbits(np.stack(reached, axis=1), axis=1, bitorder="little").view("<i8").ravel()
+
+
 def same_title(x: list[str], y: list[str]) -> bool:
     """The same title but for order, two mistyped words and up to two words cut off at the end.
 
@@ -261,11 +287,11 @@ def same_people(x: list[str], y: list[str]) -> bool:
     return any(near(a, b) for a in x if len(a) >= 5 for b in y if len(b) >= 5)
 
 
-FEATURES = "title bigint, tokens string, people string, print bigint, tables int"
+FEATURES = "title bigint, tokens string, people string, print bigint, tables int, letters bigint"
 
 
 def work_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, doi, arxiv, *keep, title, tokens, people, print, tables) of rows with id, title, authors, doi, arxiv_id.
+    """(id, doi, arxiv, *keep, title, tokens, people, print, tables, letters) of rows with id, title, authors, doi, arxiv_id.
 
     title is a 64-bit hash of the sorted tokens, with an author token if the title is short; null for a title without
     tokens (null, empty, only signs).  tokens and people are space-separated.
@@ -285,8 +311,8 @@ def work_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 people.append(" ".join(p))
             prints, tables = fingerprints(lists)
             own = [batch.column(i) for i in range(n)]
-            made = [pa.array(titles, pa.int64()), pa.array([" ".join(t) for t in lists], pa.string()), pa.array(people, pa.string()), pa.array(prints, pa.int64()), pa.array(tables, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=["id", "doi", "arxiv", *keep, "title", "tokens", "people", "print", "tables"])
+            made = [pa.array(titles, pa.int64()), pa.array([" ".join(t) for t in lists], pa.string()), pa.array(people, pa.string()), pa.array(prints, pa.int64()), pa.array(tables, pa.int32()), pa.array(letter_bits(lists), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=["id", "doi", "arxiv", *keep, "title", "tokens", "people", "print", "tables", "letters"])
 
     kept = "".join(f"{c} {columns.schema[c].dataType.simpleString()}, " for c in keep)
     return columns.mapInArrow(run, f"id {columns.schema['id'].dataType.simpleString()}, doi string, arxiv string, {kept}{FEATURES}")
@@ -307,6 +333,17 @@ def alike(u: str, v: str) -> Column:
     return F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= MAX_BITS
 
 
+def like_letters(u: str, v: str) -> Column:
+    """False only where the letters of two titles show that they can't pass :func:`same_title`.
+
+    Of two titles that pass, one has nothing that the other lacks but for two slips, each of which brings one letter at most; a
+    moved border brings none.  The bits that one has and the other has not are no more than the letters that it has
+    more.  Titles without bits pass.
+    """
+    more = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) <= MAX_LETTERS
+    return more(u, v) | more(v, u)
+
+
 def worth_checking(u: Column, v: Column) -> Column:
     """False only where two token strings can't pass :func:`same_title`, told by built-in functions.
 

@@ -152,6 +152,29 @@ def test_filter_keeps_what_the_check_accepts(spark):
     assert len(good) > 1000 and kept.count() == len(good)
 
 
+def test_letters_keep_what_the_check_accepts_and_tell_titles_of_common_words_apart(spark):
+    rng = random.Random(7)
+    words = "robust multiscale multi scale maps map liver livr scans noise deep few shot fewshot the with form teh cells #2 kernel kernels 3d überall".split()
+    pairs = [("robust multiscale maps liver scans", "robust multi scale maps liver scans noise"), ("map maps a b c", "a b c maps maps noise"), ("map zap deep scans", "maps maps deep scans")]
+    while len(pairs) < 20_000:
+        x = [rng.choice(words) for _ in range(rng.randint(3, 8))]
+        y = rng.sample(x, len(x))
+        for _ in range(rng.randint(0, 5)):
+            i, w = (i := rng.randrange(len(y))), y[i]
+            k, c = rng.randrange(len(w) + 1), rng.choice("abdefkz")
+            y = rng.choice([y[:i] + [w[:k] + c + w[k:]] + y[i + 1 :], y[:i] + [w[:k], w[k:]] + y[i + 1 :], y[:i] + ["".join(y[i : i + 2])] + y[i + 2 :], y + [rng.choice(words)], y[:-1] or y, y[:i] + [w[:k] + w[k + 1 :]] + y[i + 1 :], y[:i] + [w[:k] + w[k : k + 2][::-1] + w[k + 2 :]] + y[i + 1 :]])
+            y = [w for w in y if w] or ["a"]
+        pairs.append((" ".join(x), " ".join(y)))
+    good = [(a.split(), b.split()) for a, b in pairs if sorted(a.split()) == sorted(b.split()) or works.same_title(a.split(), b.split())]
+    told = lambda pairs: spark.createDataFrame(list(zip(*(works.letter_bits(list(side)).tolist() for side in zip(*pairs)))), "a bigint, b bigint").where(works.like_letters("a", "b")).count()
+    assert len(good) > 1000 and told(good) == len(good)
+    # Titles of 200 common words that share two: few of the pairs are left.
+    common = ["".join(rng.choice("etaoinsrhldcumfpgwyb") for _ in range(rng.randint(4, 10))) for _ in range(200)]
+    others = [(t[:7], [*t[:2], *t[7:]]) for t in (rng.sample(common, 12) for _ in range(2000))]
+    assert told(others) < 400
+    assert works.letter_bits([]).size == 0
+
+
 RAW = "raw_id bigint, batch_id int, title string, authors array<string>, doi string, arxiv_id string"
 PAPERS = "paper_id string, title string, authors array<string>, doi string, arxiv_id string"
 
