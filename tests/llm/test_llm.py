@@ -88,6 +88,21 @@ def test_stand_ins_lose_to_real_abstracts(spark):
     assert out == {"p0": "s2", "p1": "s2", "p2": ""}
 
 
+def test_survivors_of_papers_with_several_sources(spark, monkeypatch):
+    schema = "paper_id string, source string, raw string, first_seen_at timestamp"
+    message = "The publisher has not released a summary of this article and offers the whole text only to readers of its platform."
+    rows = [(f"p{i}", "core", json.dumps({"abstract": message})) for i in range(5)] + [(f"p{i}", "s2", json.dumps({"abstract": f"We study case {i} of ranking."})) for i in range(3)]
+    rows += [("p0", "arxiv", json.dumps({"summary": "We study case 0 of ranking. It works."})), ("p4", "s2", json.dumps({"abstract": None})), ("p5", "s2", json.dumps({"abstract": "We rank."}))]
+    df = spark.createDataFrame([(*r, None) for r in rows], schema).withColumn("first_seen_at", F.lit("2022-01-01").cast("timestamp"))
+    trust = spark.createDataFrame([("core", 1), ("s2", 3), ("arxiv", 2)], "source string, trust_rank int")
+    picked = lambda least: {(r["paper_id"], r["n_sources"], r["abstract_source"]) for r in survivor.survivors(df, trust, least=least).collect()}
+    every = {("p0", 3, "arxiv"), ("p1", 2, "s2"), ("p2", 2, "s2"), ("p3", 1, ""), ("p4", 2, ""), ("p5", 1, "s2")}
+    assert picked(1) == every
+    assert picked(2) == {r for r in every if r[1] >= 2}
+    monkeypatch.setattr(survivor, "MAX_SHARED", 0)
+    assert picked(1) == every
+
+
 def test_survivors(spark):
     schema = "paper_id string, source string, raw string, first_seen_at timestamp"
     rows = [("p", "core", '{"abstract": "one two three", "publishedDate": "03/04/2021"}'), ("p", "s2", '{"abstract": "one two three", "publicationDate": "2021-02-30"}'), ("p", "arxiv", "{broken"), ("q", "arxiv", None), (None, "arxiv", "{}")]
