@@ -175,6 +175,17 @@ def _word(x: str, y: str) -> float:
     return 1 - _edits(x, y) ** 2 / (1 + max(len(x), len(y)))
 
 
+def similar(x: str, y: str) -> float:
+    """The Monge-Elkan similarity of two single words where it is SIMILAR at least, else 0.
+
+    Two edits are too many for words so short that they bring it under SIMILAR, so for those no table of edits is made.
+    """
+    if x != y and len(x) > 1 < len(y) and 1 - 2**2 / (1 + max(len(x), len(y))) < SIMILAR and not near(x, y):
+        return 0.0
+    found = monge_elkan([x], [y])
+    return found if found >= SIMILAR else 0.0
+
+
 def _edits(x: str, y: str) -> int:
     if near(x, y):
         return 1
@@ -251,8 +262,8 @@ def star_clusters(items: list[tuple[str, int, str, str, str, str]], family: str)
     centre: dict[str, str] = {}
     stars: list[str] = []
     for g in sorted(by_given, key=lambda g: (-by_given[g], g)):
-        best = max(((monge_elkan([g], [c]), by_given[c], c) for c in stars if abs(len(g) - len(c)) <= 2), default=None)
-        centre[g] = best[2] if best and best[0] >= SIMILAR else g
+        best = max(((like, by_given[c], c) for c in stars if abs(len(g) - len(c)) <= 2 and (like := similar(g, c))), default=None)
+        centre[g] = best[2] if best else g
         if centre[g] == g:
             stars.append(g)
     people: dict[tuple[str, str], int] = {}
@@ -287,7 +298,7 @@ def star_clusters(items: list[tuple[str, int, str, str, str, str]], family: str)
         elif g in centre:
             g = centre[g]
         else:
-            near_by = [c for c in stars if monge_elkan([g], [c]) >= SIMILAR]
+            near_by = [c for c in stars if similar(g, c)]
             if not near_by:
                 cluster[i] = number(("\x00" + own, given))  # a family of its own after all
                 continue
@@ -415,7 +426,7 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
 
     def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([monge_elkan([a], [b]) >= SIMILAR for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([similar(a, b) > 0 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
 
     linked = met.mapInArrow(slips, "kind string, letter string, u string, v string, nv bigint")
     star = linked.groupBy("kind", "letter", F.col("u").alias("family")).agg(F.max(F.struct("nv", "v")).alias("m")).select("kind", "letter", "family", F.col("m.v").alias("centre"))
@@ -424,17 +435,47 @@ def name_clusters(spark: SparkSession, authors: DataFrame) -> DataFrame:
     rooted = star.hint("merge").join(star.select("kind", "letter", F.col("family").alias("centre"), F.col("centre").alias("up")), ["kind", "letter", "centre"], "left").select("kind", "letter", "family", F.coalesce("up", "centre").alias("centre"))
     placed = parsed.hint("merge").join(rooted, ["kind", "letter", "family"], "left").withColumn("root", F.coalesce("centre", "family"))
 
-    def group(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
-        rows = list(zip(*(tab.column(c).to_pylist() for c in ("name", "n", "kind", "family", "given", "initials"))))
-        if key[0].as_py() == "o":
-            known = {r[4] for r in rows if r[3] == key[1].as_py()}
-            labels = [r[4] if r[4] in known or r[3] == key[1].as_py() else r[3] + "|" + r[4] for r in rows]
-        else:
-            labels = star_clusters(rows, key[1].as_py())
-        head = "\x1f".join(k.as_py() for k in key)
-        return pa.table({"name": tab.column("name"), "n": tab.column("n"), "cluster": pa.array([f"{head}\x1f{x}" for x in labels], pa.string())})
+    def labels(kind: str, root: str, rows: list[tuple]) -> list:
+        if len(rows) == 1:
+            return [0]
+        if kind == "o":
+            known = {r[4] for r in rows if r[3] == root}
+            return [r[4] if r[4] in known or r[3] == root else r[3] + "|" + r[4] for r in rows]
+        return star_clusters(rows, root)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Clusters of rows sorted by group: most groups are a few rows, so they are told apart here and not sent one by one."""
+        held: list[tuple] = []
+        of, made = None, ([], [], [])
+
+        def add() -> None:
+            head = "\x1f".join(of)
+            made[0].extend(r[0] for r in held)
+            made[1].extend(r[1] for r in held)
+            made[2].extend(f"{head}\x1f{x}" for x in labels(of[0], of[1], held))
+
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(made[0], pa.string()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.string())], names=["name", "n", "cluster"])
+            for x in made:
+                x.clear()
+            return out
 
-    return placed.select("name", "n", "kind", "family", "given", "initials", "letter", "root").groupBy("kind", "root", "letter").applyInArrow(group, "name string, n bigint, cluster string")
+        for batch in batches:
+            name, n, kind, family, given, initials, letter, root = (c.to_pylist() for c in batch.columns)
+            for key, row in zip(zip(kind, root, letter), zip(name, n, kind, family, given, initials)):
+                if key != of:
+                    if held:
+                        add()
+                    of, held = key, []
+                held.append(row)
+            if len(made[0]) >= 10_000:
+                yield full()
+        if held:
+            add()
+        yield full()
+
+    by_group = placed.select("name", "n", "kind", "family", "given", "initials", "letter", "root").repartition("kind", "root", "letter").sortWithinPartitions("kind", "root", "letter")
+    return by_group.mapInArrow(groups, "name string, n bigint, cluster string")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,3 +368,42 @@ def test_name_joins_are_not_broadcast(spark, monkeypatch, tmp_path):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert {tuple(r) for r in out.collect()} == {("Keira Lundqvist", "Keira Lundqvits")}
     assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_similar_words_need_no_table_of_edits(monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeln") for _ in range(rng.choice([1, 2, 3, 5, 9, 18, 19, 20, 24, 50]))) for _ in range(60)]
+    slipped = [w[:k] + rng.choice(["", "x", w[k : k + 2][::-1]]) + w[k + rng.randint(0, 2) :] for w in words for k in (0, len(w) // 2, max(len(w) - 2, 0))]
+    pairs = [(a, b) for a in words + slipped if a for b in words + slipped if b]
+    for a, b in pairs:
+        like = names.monge_elkan([a], [b])
+        assert names.similar(a, b) == (like if like >= names.SIMILAR else 0), (a, b)
+    assert sum(names.similar(a, b) > 0 and a != b for a, b in pairs) > 200
+    # Names of under nineteen letters are clustered without it.
+    counted, edits = [], names._edits
+    monkeypatch.setattr(names, "_edits", lambda x, y: counted.append((x, y)) or edits(x, y))
+    given = ["francesca", "fransesca", "felicitas", "frederika", "fernanda", "filippa"]
+    assert names.star_clusters([(g, 9 - i, "p", "oro", g, "") for i, g in enumerate(given)], "oro") == [0, 0, 1, 2, 3, 4]
+    assert set(counted) <= {("fransesca", "francesca")}
+
+
+def test_groups_of_names_may_cross_batches(spark, monkeypatch):
+    """Groups are told apart in the sorted rows, not sent to Python one by one; where a batch ends makes no difference."""
+    people = [f"{g} {f}" for f in ("Lundqvist", "Pegigevik", "Orosco") for g in ("Keira", "Kiera", "K.", "Tomo", "Karl", "Keira A.")] + ["Bebripol Imaging Lab", "Bebripol Imaging Laboratory"]
+    df = spark.createDataFrame([([x],) for x in people], "authors array<string>")
+
+    def grouped():
+        clusters = names.name_clusters(spark, df)
+        assert "FlatMapGroups" not in clusters._jdf.queryExecution().executedPlan().toString()
+        by = {}
+        for r in clusters.collect():
+            by.setdefault(r["cluster"], set()).add((r["name"], r["n"]))
+        return sorted(map(sorted, by.values()))
+
+    whole = grouped()
+    assert sum(map(len, whole)) == len(people) and max(map(len, whole)) >= 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert grouped() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
