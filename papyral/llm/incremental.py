@@ -13,6 +13,8 @@ tables hold distinct titles only.  A title belongs to its first record; a later
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from papyral.session import Buckets, Scratch, table
 
 #: Rows of history that one bucket is meant for.
 BUCKET_ROWS = 100_000
+#: Type of a delivery's number.  Generated code holds an integer as text, so every delivery's would be compiled, and run cold, anew.
+NUMBER = "decimal(9,0)"
 
 
 def _words(people: str) -> Column:
@@ -61,11 +65,11 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 12):
         self.spark, self.scratch = spark, Scratch(spark, "index")
         folder = (folder or f"{self.scratch.root}/tables").rstrip("/")
-        made = lambda name, schema, key: Buckets(spark, f"{folder}/{name}", f"{schema}, n int", key, buckets)
+        made = lambda name, schema, key: Buckets(spark, f"{folder}/{name}", f"{schema}, n {NUMBER}", key, buckets)
         self.titles = made("titles", "title bigint, tokens string, print bigint, letters bigint, tables int, words array<string>, first boolean", "title")
         self.blocks = made("blocks", "key bigint, title bigint, letters bigint", "key")
         self.links = made("links", "u bigint, v bigint, kind string, people string", "u")
-        self.n = max(t.read().agg(F.max("n")).first()[0] or 0 for t in (self.titles, self.links))
+        self.n = max(int(t.read().agg(F.max("n")).first()[0] or 0) for t in (self.titles, self.links))
         self.done, self.known_works = 0, None
 
     def append(self, features: DataFrame) -> None:
@@ -74,15 +78,16 @@ class FingerprintIndex:
         features: what :func:`work_features` makes of its rows, as a written table.  :meth:`vertices` places the rows.
         """
         self.n += 1
-        number = F.lit(self.n).alias("n")
+        number = self._number().alias("n")
         titled = features.where(F.col("title").isNotNull())
         classes = titled.groupBy("title", "people").agg(F.min("id").alias("id"), F.min("tokens").alias("tokens"), F.min("print").alias("print"), F.min("letters").alias("letters"), F.min("tables").alias("tables"))
         by_first = W.partitionBy("title").orderBy("id", "people")
-        classes = classes.withColumn("batch_first", F.first("people").over(by_first))
+        # Placed as the buckets are, so that what is known of the titles joins them where it is read.
+        classes = self.titles.placed(classes).withColumn("batch_first", F.first("people").over(by_first))
         # History is read bucket by bucket; what is built in memory and shuffled is the delivery's side.
         known = self.titles.read().join(titled.select("title").hint("shuffle_hash"), "title", "left_semi").groupBy("title")
         known = known.agg(F.flatten(F.collect_list("words")).alias("known"), F.flatten(F.collect_list(F.when(F.col("first"), F.col("words")))).alias("known_first"))
-        met = classes.join(known, "title", "left").select("title", "people", "tokens", "print", "letters", "tables", _words("people").alias("words"), F.coalesce("known_first", _words("batch_first")).alias("first"), "known", F.col("known").isNotNull().alias("old"))
+        met = classes.join(known.hint("shuffle_hash"), "title", "left").select("title", "people", "tokens", "print", "letters", "tables", _words("people").alias("words"), F.coalesce("known_first", _words("batch_first")).alias("first"), "known", F.col("known").isNotNull().alias("old"))
         met = self.scratch.save(met.withColumn("stranger", _strange("words", "first")), "met")
         # Words that the title's own work has not shown before make new keys; a new title makes all of its keys.
         union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("words"))))
@@ -93,10 +98,10 @@ class FingerprintIndex:
         more = F.array(row(untold, named, F.array_except("words", "known"), False))
         rows = fresh.select("title", "print", "letters", F.inline(F.when(F.col("old"), more).otherwise(new))).where(F.col("first") | (F.size("words") > 0))
         self.titles.append(rows.select("title", "tokens", "print", "letters", "tables", "words", "first", number), placed=True)
-        fresh = self.titles.read().where(F.col("n") == self.n)
+        fresh = self.titles.read().where(F.col("n") == self._number())
         self.blocks.append(block_keys(fresh, F.col("words"), "title", "letters").select("key", "title", "letters", number))
         blocks = self.blocks.read()
-        a = blocks.where(F.col("n") == self.n).select("key", F.col("title").alias("u"), F.col("letters").alias("letters_u"))
+        a = blocks.where(F.col("n") == self._number()).select("key", F.col("title").alias("u"), F.col("letters").alias("letters_u"))
         b = blocks.select("key", F.col("title").alias("v"), F.col("letters").alias("letters_v"))
         # Titles of common words meet by the square of their number: what their letters tell apart is neither shuffled nor looked up.
         pairs = a.hint("shuffle_hash").join(b, "key").where((F.col("u") != F.col("v")) & like_letters("letters_u", "letters_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -115,6 +120,9 @@ class FingerprintIndex:
         self.links.append(near.unionByName(sure).unionByName(others).select("u", "v", "kind", "people", number))
         self.scratch.drop(met)
 
+    def _number(self) -> Column:
+        return F.lit(Decimal(self.n)).cast(NUMBER)
+
     def vertices(self, features: DataFrame) -> DataFrame:
         """(id, vertex) of rows that were appended."""
         strange = self.links.read().where("kind = 'stranger'").select(F.col("u").alias("title"), "people").distinct()

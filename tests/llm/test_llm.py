@@ -407,3 +407,25 @@ def test_groups_of_names_may_cross_batches(spark, monkeypatch):
         assert grouped() == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_later_deliveries_compile_nothing(spark, monkeypatch):
+    """The generated code of one delivery serves the next: no text of it holds the delivery's number."""
+    codes = []
+
+    class Seen(incremental.Buckets):
+        def append(self, df, placed=False):
+            made = df._jdf.queryExecution().debug().codegenToSeq()
+            codes[-1].extend(made.apply(i)._2() for i in range(made.size()))
+            super().append(df, placed)
+
+    monkeypatch.setattr(incremental, "Buckets", Seen)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        index = incremental.FingerprintIndex(spark, buckets=2)
+        for i in range(3):
+            codes.append([])
+            index.append(index.scratch.save(works.work_features(spark.createDataFrame([(f"p{i}", f"Robust maps of cell{i} scans", ["Ann Leeming"], f"10.1000/{i}", None)], RECORD))))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert index.n == 3 and len(codes[1]) > 10 and codes[1] == codes[2]
