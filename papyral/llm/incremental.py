@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from papyral.llm.components import connected_components
 from papyral.llm.works import NAMED, alike, block_keys, like_letters, of_same_people, same_titles, work_features
-from papyral.session import Buckets, Scratch, table
+from papyral.session import Buckets, Scratch, table, trim_driver
 
 #: Rows of history that one bucket is meant for.
 BUCKET_ROWS = 100_000
@@ -123,10 +123,13 @@ class FingerprintIndex:
     def _number(self) -> Column:
         return F.lit(Decimal(self.n)).cast(NUMBER)
 
-    def vertices(self, features: DataFrame) -> DataFrame:
-        """(id, vertex) of rows that were appended."""
-        strange = self.links.read().where("kind = 'stranger'").select(F.col("u").alias("title"), "people").distinct()
-        return _placed(features, strange).select("id", "vertex")
+    def strangers(self) -> DataFrame:
+        """(title, people) of the records that are another work of their title."""
+        return self.links.read().where("kind = 'stranger'").select(F.col("u").alias("title"), "people").distinct()
+
+    def vertices(self, features: DataFrame, strangers: DataFrame | None = None) -> DataFrame:
+        """(id, vertex) of rows that were appended.  strangers: those of the index, if they are kept apart from it."""
+        return _placed(features, self.strangers() if strangers is None else strangers).select("id", "vertex")
 
     def works(self) -> DataFrame:
         """(vertex, work) of the vertices that something ties to another; any other is a work of its own.
@@ -159,6 +162,11 @@ class FingerprintIndex:
         self.known_works, self.done = moved, self.n
         return moved
 
+    def drop(self) -> None:
+        """Delete the index."""
+        for t in (self.titles, self.blocks, self.links):
+            t.drop()
+
 
 def paper_rows(papers: DataFrame) -> DataFrame:
     """papers as rows of the index, by paper_id.  Repeated rows count once, as they give the same features."""
@@ -189,12 +197,17 @@ def known_works(spark: SparkSession, raw: DataFrame, papers: DataFrame, deliveri
     for batches in deliveries:
         numbered = [b for b in batches if b is not None]
         index.append(features.where(F.col("batch_id").isin(numbered) | (F.col("batch_id").isNull() if None in batches else F.lit(False))))
-    rows, known = index.vertices(features), index.vertices(accepted).select(F.col("id").alias("paper"), "vertex")
+        trim_driver(spark)
+    strangers = index.scratch.save(index.strangers(), "strangers")
+    rows, known = index.vertices(features, strangers), index.vertices(accepted, strangers).select(F.col("id").alias("paper"), "vertex")
     # The least ids of each vertex, then of each work: partial minima before every shuffle.
     firsts = known.groupBy("vertex").agg(F.min("paper").alias("paper")).select("vertex", "paper", F.lit(None).cast("long").alias("raw"))
     firsts = firsts.unionByName(rows.groupBy("vertex").agg(F.min("id").alias("raw")).select("vertex", F.lit(None).cast("string").alias("paper"), "raw"))
     placed = firsts.join(index.works(), "vertex", "left").select("vertex", F.coalesce("work", "vertex").alias("work"), "paper", "raw")
     placed = index.scratch.save(placed, "vertices")
+    # The result reads no more than these: the index would stay in the session's catalog and on disk.
+    index.drop()
+    index.scratch.close(features, strangers, placed)
     first = placed.groupBy("work").agg(F.min("paper").alias("paper"), F.min("raw").alias("first"))
     by_vertex = placed.where(F.col("raw").isNotNull()).select("vertex", "work").join(first, "work").select("vertex", "paper", "first")
     tied = rows.join(by_vertex, "vertex").where(F.col("paper").isNotNull() | (F.col("id") > F.col("first")))

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,25 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Give back to the system what the driver's JVM has freed outside its heap; False where a JVM can't (Linux, JDK 17.0.9 on, can).
+
+    Planning and compiling hundreds of queries leaves the C library with much freed memory that still counts as the driver's.
+    """
+    sc = spark.sparkContext
+    jvm, made = sc._jvm, sc._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, values = made(jvm.java.lang.Class, 4), made(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:  # another JVM or system
+        return False
+    return True
+
+
 class Scratch:
     """Intermediate tables of one run, written under the shared folder."""
 
@@ -103,6 +125,25 @@ class Versions:
             _delete(self.spark, f"{self.folder}/v={n}")
 
 
+#: Most bytes that Spark keeps of listings of files, for all of a session.
+LISTINGS = "spark.sql.hive.filesourcePartitionFileCacheSize"
+
+
+@contextmanager
+def unlisted(spark: SparkSession) -> Iterator[None]:
+    """Relations made within keep their own listing of files only.
+
+    Spark would keep a second one of each, on the driver and beyond the table, up to 250 MB; a table that is appended to and
+    read again and again makes a new relation every time, each with all of its files.
+    """
+    before = spark.conf.get(LISTINGS, None)
+    spark.conf.set(LISTINGS, "0")
+    try:
+        yield
+    finally:
+        spark.conf.unset(LISTINGS) if before is None else spark.conf.set(LISTINGS, before)
+
+
 class Buckets:
     """A lasting table in a folder of the caller's, hashed into buckets by one column, that only grows.
 
@@ -113,7 +154,8 @@ class Buckets:
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, n: int):
         self.spark, self.path, self.schema, self.key, self.n = spark, path.rstrip("/"), schema, key, n
         self.name = f"papyral_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{self.path}'")
+        with unlisted(spark):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{self.path}'")
 
     def placed(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """``df`` shuffled as the buckets are, by the column ``by`` (the key itself if None)."""
@@ -123,11 +165,13 @@ class Buckets:
         """Add rows; one file a bucket.  ``placed``: they are shuffled by the key already."""
         columns = [c.split()[0] for c in self.schema.split(", ")]
         rows = df.select(*columns)
-        (rows if placed else self.placed(rows)).write.mode("append").option("parquet.dictionary.page.size", 8 << 20).insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        with unlisted(self.spark):
+            (rows if placed else self.placed(rows)).write.mode("append").option("parquet.dictionary.page.size", 8 << 20).insertInto(self.name)
+            self.spark.catalog.refreshTable(self.name)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        with unlisted(self.spark):
+            return self.spark.table(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("papyral.llm")
+from papyral import session  # noqa: E402
 from papyral.llm import components, incremental, matching, mixing, names, neighbours, reading, survivor, tokens, works  # noqa: E402
 
 RECORD = "id string, title string, authors array<string>, doi string, arxiv_id string"
@@ -429,3 +430,44 @@ def test_later_deliveries_compile_nothing(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert index.n == 3 and len(codes[1]) > 10 and codes[1] == codes[2]
+
+
+def listed(spark):
+    """Listings of files that Spark's own cache holds on the driver."""
+    named = spark.sparkContext._jvm.java.lang.Class.forName
+
+    def field(holder, of, kind):
+        found = next(f for f in of.getDeclaredFields() if f.getType().getSimpleName() == kind)
+        found.setAccessible(True)
+        return found.get(holder)
+
+    package = "org.apache.spark.sql.execution.datasources"
+    whole = field(field(None, named(f"{package}.FileStatusCache$"), "FileStatusCache$"), named(f"{package}.FileStatusCache$"), "SharedInMemoryCache")
+    if whole is None:  # nothing listed yet
+        return 0
+    none = spark.sparkContext._gateway.new_array
+    size = named("org.sparkproject.guava.cache.Cache").getMethod("size", none(spark.sparkContext._jvm.java.lang.Class, 0))
+    return size.invoke(field(whole, whole.getClass(), "Cache"), none(spark.sparkContext._jvm.java.lang.Object, 0))
+
+
+def test_tables_that_grow_leave_no_listings_on_the_driver(spark, tmp_path):
+    """Every read after an append left a listing of all files of the table in Spark's cache, for the session's life."""
+    spark.read.parquet(incremental.Scratch(spark, "test").save(spark.range(1))._papyral_path).count()
+    before = listed(spark)
+    assert before
+    grown = incremental.Buckets(spark, f"file://{tmp_path}/grown", "key bigint, v bigint", "key", 2)
+    for i in range(3):
+        grown.append(spark.range(i, i + 10).select(F.col("id").alias("key"), F.col("id").alias("v")))
+        assert grown.read().join(grown.read().where("v > 3"), "key").count() and grown.read().count() == 10 * (i + 1)
+    grown.drop()
+    assert listed(spark) == before and spark.conf.get("spark.sql.hive.filesourcePartitionFileCacheSize", None) is None
+
+
+def test_known_works_leaves_no_index_behind(spark, monkeypatch):
+    """The result is read without the index, which is deleted; freed memory goes back after each delivery."""
+    trimmed, tables = [], {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(incremental, "trim_driver", lambda s: trimmed.append(session.trim_driver(s)))
+    title = "Robust maps of liver scans under noise"
+    raw = [(1, 1, title, ["Ann Leeming"], None, None), (2, 2, title, ["Cy Oduya"], None, None), (3, 3, title.replace("liver", "livver"), ["Ann Leeming"], None, None), (4, 3, title, ["Cy Oduya"], None, None)]
+    assert known(spark, raw) == {3: "raw:1", 4: "raw:2"}
+    assert {t.name for t in spark.catalog.listTables()} == tables and len(trimmed) == 3
